@@ -44,7 +44,7 @@ def snapshot_changes(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
         .select("supplier", "sku", F.col("scraped_at").cast("date").alias("day"), F.coalesce(F.col("id").cast("long"), F.lit(-(2**63))).alias("id"), payload.alias("h"))
         .join(days, ["supplier", "day"])
         .groupBy("supplier", "sku", "n")
-        .agg(F.max_by("h", "id").alias("h"))
+        .agg(F.max(F.struct("id", "h")).getField("h").alias("h"))
     )
     now = listed.withColumnRenamed("h", "h_now")
     then = listed.select("supplier", "sku", (F.col("n") + 1).alias("n"), F.col("h").alias("h_then"))
