@@ -26,6 +26,8 @@ FIELDS = ("brand", "product_type", "category")
 SHARD = 50_000
 CACHE = 200_000
 _SUFFIX = re.compile(r"(?:[\s,\-–]+(?:s\.?\s?a\.?(?:\s?i\.?\s?c\.?)?|s\.?\s?r\.?\s?l\.?|ltda\.?|argentina|linea hogar)|\s*\((?:r|tm)\)|\s*[®™])+\s*$")
+# What sellers type where they have nothing to say.
+PLACEHOLDERS = frozenset("varios otros generico sinmarca sinclasificar nada ninguno ninguna noinforma nodefinido adefinir pendiente pendientedecarga sd na xx xxx null none desconocido".split())
 _CODE = re.compile(r"\s*(\d+)(?:[_\-](\d+))?\s*")
 _LOOKALIKE = str.maketrans("01345", "oieas")
 
@@ -192,7 +194,7 @@ class ReferenceTrie:
         word = squeeze(text)
         best = (0, 99)
         for form in dict.fromkeys((word, squeeze(text.translate(_LOOKALIKE)), squeeze(value))):
-            if not form or form.isdigit():
+            if not form or form.isdigit() or form in PLACEHOLDERS:
                 continue
             if refs := self.alias.get(form):
                 return min(refs), 0
