@@ -13,11 +13,11 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pricelattice.session import checkpointed
 
@@ -127,9 +127,11 @@ def stuffed_share(text: str) -> tuple[float, float]:
     return chars / len(text), max((s[3] - s[2] for s in strings), default=0)
 
 
-@F.pandas_udf(T.BooleanType())
-def is_stuffed(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: stuffed_share(t)[0] > SHARE).astype(bool)
+def stuffed_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The doc_id of the pages that are stuffed; as a map over batches the optimizer can't move it before the join."""
+    for batch in batches:
+        ids = [i for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) if stuffed_share(text)[0] > SHARE]
+        yield pa.record_batch({"doc_id": pa.array(ids, pa.int64())})
 
 
 def _among(token: Column, words: frozenset[str]) -> Column:
@@ -177,4 +179,4 @@ def stuffed_pages(documents: DataFrame) -> DataFrame:
     pages = documents.filter("doc_id is not null and text is not null").select("doc_id", "text").repartition("doc_id")
     # One narrow row a page; the norms and the judgement both read it.
     candidates = extreme_pages(checkpointed(page_curves(pages)))
-    return pages.join(candidates, "doc_id", "left_semi").filter(is_stuffed("text")).select("doc_id").distinct()
+    return pages.join(candidates, "doc_id", "left_semi").mapInArrow(stuffed_only, "doc_id long").distinct()
