@@ -95,35 +95,104 @@ def aliases(value: str, path: bool) -> set[str]:
 
 
 class Automaton:
-    """Levenshtein automaton of one word: states are sparse rows of (position, edits), transitions are remembered."""
+    """Levenshtein automaton of one word, a swap of neighbours counting one.
 
-    def __init__(self, word: str, edits: int):
-        self.word, self.edits, self.known, self.letters = word, edits, {}, set(word)
-        self.start = tuple((i, i) for i in range(min(edits, len(word)) + 1))
+    States are sparse rows of (position, edits, whether a swap is half done), numbered as they are met; 0 is dead.
+    ``moves[state][letter]`` is filled on demand; all letters that the word lacks share one move.
+    """
 
-    def step(self, state: tuple, letter: str) -> tuple:
-        key = (state, letter if letter in self.letters else "")
-        if (found := self.known.get(key)) is not None:
-            return found
+    def __init__(self, word: str, edits: int):
+        self.word, self.edits, self.letters = word, edits, frozenset(word)
+        start = tuple((i, i, 0) for i in range(min(edits, len(word)) + 1))
+        self.rows: list[tuple] = [(), start]
+        self.number = {(): 0, start: 1}
+        self.moves: list[dict[str, int]] = [{}, {}]
+        self.ends: list[int] = [-1, self._end(start)]
+
+    def _end(self, row: tuple) -> int:
+        """Edits with which the row accepts, or -1."""
+        return min((e for i, e, half in row if i == len(self.word) and not half), default=-1)
+
+    def step(self, state: int, letter: str) -> int:
+        moves = self.moves[state]
+        kind = letter if letter in self.letters else ""
+        if kind in moves:
+            moves[letter] = moves[kind]
+            return moves[kind]
         word, edits, row = self.word, self.edits, {}
-        for i, e in state:
-            if e < edits and row.get(i, edits + 1) > e + 1:
-                row[i] = e + 1
+        for i, e, half in self.rows[state]:
+            if half:
+                if word[i] == letter and row.get((i + 2, 0), edits + 1) > e:
+                    row[i + 2, 0] = e
+                continue
+            if e < edits:
+                if row.get((i, 0), edits + 1) > e + 1:
+                    row[i, 0] = e + 1
+                if i + 1 < len(word) and word[i + 1] == letter and row.get((i, 1), edits + 1) > e + 1:
+                    row[i, 1] = e + 1
             if i < len(word):
                 cost = e + (word[i] != letter)
-                if cost <= edits and row.get(i + 1, edits + 1) > cost:
-                    row[i + 1] = cost
-        for i in sorted(row):
-            cost = row[i] + 1
-            while i < len(word) and cost <= edits and row.get(i + 1, edits + 1) > cost:
-                i += 1
-                row[i] = cost
-                cost += 1
-        found = self.known[key] = tuple(sorted(row.items()))
+                if cost <= edits and row.get((i + 1, 0), edits + 1) > cost:
+                    row[i + 1, 0] = cost
+        for i, half in sorted(row):
+            if not half:
+                cost = row[i, 0] + 1
+                while i < len(word) and cost <= edits and row.get((i + 1, 0), edits + 1) > cost:
+                    i += 1
+                    row[i, 0] = cost
+                    cost += 1
+        found = tuple(sorted((i, e, half) for (i, half), e in row.items()))
+        number = self.number.get(found)
+        if number is None:
+            number = self.number[found] = len(self.rows)
+            self.rows.append(found)
+            self.moves.append({})
+            self.ends.append(self._end(found))
+        moves[kind] = moves[letter] = number
+        return number
+
+
+class Trie:
+    """Words with a set of values each; searched exactly, by prefix, and with a Levenshtein automaton."""
+
+    def __init__(self, words: dict[str, set]):
+        self.root: dict = {}
+        for word, values in words.items():
+            node = self.root
+            for c in word:
+                node = node.setdefault(c, {})
+            node[""] = values
+
+    def within(self, word: str, edits: int) -> dict:
+        """Every value with a word within ``edits``, and the distance of its nearest one."""
+        automaton = Automaton(word, edits)
+        moves, ends, step = automaton.moves, automaton.ends, automaton.step
+        found: dict = {}
+        stack = [(self.root, 1)]
+        while stack:
+            node, state = stack.pop()
+            known = moves[state]
+            for letter, child in node.items():
+                if letter == "":
+                    if (d := ends[state]) >= 0:
+                        for value in child:
+                            if found.get(value, edits + 1) > d:
+                                found[value] = d
+                    continue
+                nxt = known.get(letter)
+                if nxt is None:
+                    nxt = step(state, letter)
+                if nxt:
+                    stack.append((child, nxt))
         return found
 
-    def accepts(self, state: tuple) -> bool:
-        return bool(state) and state[-1][0] == len(self.word)
+    def nearest(self, word: str, edits: int) -> tuple[int, list]:
+        """(distance, values) of the nearest words within ``edits``, the cheap searches first; (99, []) without any."""
+        for e in range(1, edits + 1):
+            if found := self.within(word, e):
+                least = min(found.values())
+                return least, sorted(v for v, d in found.items() if d == least)
+        return 99, []
 
 
 class ReferenceTrie:
@@ -140,34 +209,17 @@ class ReferenceTrie:
             if s := squeeze(value):
                 full = {r for r, v in entries if squeeze(v) == s} if len(self.alias[s]) > 1 else {ref}
                 self.alias[s] = full
-        self.root: dict = {}
-        for a, refs in self.alias.items():
-            node = self.root
-            for c in a:
-                node = node.setdefault(c, {})
-            node[""] = refs
+        self.trie = Trie(self.alias)
         self.codes = {k: min(r) for k, text in (codes or {}).items() if (r := self.alias.get(squeeze(text)))}
         self.is_path = path
 
     def within(self, word: str, edits: int) -> dict[int, int]:
         """All entries within ``edits`` (swaps count one) of ``word``, with the distance of their nearest alias."""
-        automaton = Automaton(word, edits + 1 if edits else 0)
-        found: dict[int, int] = {}
-        stack = [(self.root, automaton.start, "")]
-        while stack:
-            node, state, path = stack.pop()
-            for letter, child in node.items():
-                if letter == "":
-                    if automaton.accepts(state) and (d := osa(word, path)) <= edits:
-                        for ref in child:
-                            found[ref] = min(d, found.get(ref, d))
-                elif nxt := automaton.step(state, letter):
-                    stack.append((child, nxt, path + letter))
-        return found
+        return self.trie.within(word, edits)
 
     def below(self, word: str) -> set[int]:
         """Entries whose spelling goes on after ``word`` by no more than a third of it plus three letters; at most two are looked for."""
-        node = self.root
+        node = self.trie.root
         for c in word:
             node = node.get(c)
             if node is None:
@@ -198,10 +250,9 @@ class ReferenceTrie:
                 continue
             if refs := self.alias.get(form):
                 return min(refs), 0
-            found = self.within(form, reach(len(form)))
-            for ref, d in sorted(found.items()):
-                if d < best[1]:
-                    best = (ref, d)
+            d, near = self.trie.nearest(form, reach(len(form)))
+            if d < best[1]:
+                best = (near[0], d)
             if best[1] > 1 and len(form) >= 4 and len(refs := self.below(form)) == 1:
                 best = (min(refs), 1)
         return best
