@@ -1,0 +1,143 @@
+"""Features of a listing out of its name: brand, type, variant and quantity, by the custom of its source.
+
+Sources write names in different orders, so there are five readers: type first, type or brand first (the better
+reading wins), brand in capitals inside, size at the end, brand first. They share dictionaries of brands and
+types; dictionary size is checked before it is broadcast. Corrections for single brands are no part of this.
+"""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pricelattice.functions.quantity import fold, spans
+
+MAX_WORDS = 200_000
+FEATURES = (
+    T.StructType()
+    .add("brand", T.StringType())
+    .add("product_type", T.StringType())
+    .add("variant", T.StringType())
+    .add("qty", T.DoubleType())
+    .add("unit", T.StringType())
+    .add("pieces", T.IntegerType())
+)
+GENERIC = "Generico"
+
+
+class Dictionary:
+    """Entries by their folded words, found as the longest run of words at a place."""
+
+    def __init__(self, values: list[str]):
+        self.by_words: dict[tuple[str, ...], str] = {}
+        for v in sorted(values):
+            words = tuple(re.findall(r"[^\W_]+", fold(v)))
+            if words:
+                self.by_words.setdefault(words, v)
+        self.longest = max(map(len, self.by_words), default=0)
+
+    def at(self, words: list[str], place: int) -> tuple[str, int] | None:
+        """(entry, words) of the longest entry that the words from ``place`` on spell."""
+        for size in range(min(self.longest, len(words) - place), 0, -1):
+            if hit := self.by_words.get(tuple(words[place : place + size])):
+                return hit, size
+        return None
+
+    def anywhere(self, words: list[str]) -> tuple[str, int, int] | None:
+        """(entry, place, words) of the longest entry; of equal ones the first."""
+        best = None
+        for i in range(len(words)):
+            if (hit := self.at(words, i)) and (best is None or hit[1] > best[2]):
+                best = (hit[0], i, hit[1])
+        return best
+
+
+def _type_first(raw, words, brands, kinds):
+    kind = kinds.at(words, 0)
+    k = kind[1] if kind else 1
+    brand = brands.at(words, k)
+    b = brand[1] if brand else 0
+    return (brand[0] if brand else GENERIC), (kind[0] if kind else raw[0].title()), raw[k + b :], bool(kind) + bool(brand), k * bool(kind) + b
+
+
+def _brand_first(raw, words, brands, kinds):
+    brand = brands.at(words, 0)
+    b = brand[1] if brand else 0
+    kind = kinds.at(words, b)
+    k = kind[1] if kind else 1
+    return (brand[0] if brand else GENERIC), (kind[0] if kind else (raw[b].title() if b < len(raw) else None)), raw[b + k :], bool(kind) + bool(brand), k * bool(kind) + b
+
+
+def _either(raw, words, brands, kinds):
+    """Both orders are read; more lookups win, then more words looked up, then type first."""
+    return max(_type_first(raw, words, brands, kinds), _brand_first(raw, words, brands, kinds), key=lambda r: r[3:])
+
+
+def _capitals(raw, words, brands, kinds):
+    """The brand is the first run of words in capitals; the type stands before it, the variant after."""
+    start = next((i for i, w in enumerate(raw) if len(w) > 1 and w.isupper()), None)
+    if start is None or all(w.isupper() for w in raw):
+        return _either(raw, words, brands, kinds)
+    end = start
+    while end < len(raw) and raw[end].isupper():
+        end += 1
+    known = brands.at(words, start)
+    before, after = raw[:start], raw[end:]
+    kind = kinds.at(words, 0) or kinds.at(words, end)
+    kind_words = set(fold(kind[0]).split()) if kind else set()
+    rest = [w for w in [*before, *after] if fold(w) not in kind_words]
+    return (known[0] if known else " ".join(raw[start:end]).title()), (kind[0] if kind else " ".join(before) or None), rest, 2, end - start
+
+
+def _anywhere(raw, words, brands, kinds):
+    """Size is cut off already; the longest known type and the longest known brand count wherever they stand."""
+    kind = kinds.anywhere(words)
+    taken = set(range(kind[1], kind[1] + kind[2])) if kind else set()
+    brand = brands.anywhere([w if i not in taken else "\0" for i, w in enumerate(words)])
+    if brand:
+        taken |= set(range(brand[1], brand[1] + brand[2]))
+    return (brand[0] if brand else GENERIC), (kind[0] if kind else raw[0].title()), [w for i, w in enumerate(raw) if i not in taken], 0, 0
+
+
+STYLES = {"type_first": _type_first, "either": _either, "capitals": _capitals, "size_last": _anywhere, "brand_first": _brand_first}
+
+
+def read_name(name: str | None, style: str, brands: Dictionary, kinds: Dictionary) -> tuple:
+    """(brand, type, variant, qty, unit, pieces) of a name; all null for null and blank names."""
+    if not name or not name.strip():
+        return (None,) * 6
+    quantity, stated, cleaned = spans(name)
+    # Places of the folded text carry over to the name only while folding keeps its length.
+    text = name if len(cleaned) == len(name) else cleaned
+    keep = "".join(" " if any(a <= i < b for a, b in stated) or cleaned[i] == " " else c for i, c in enumerate(text))
+    raw = re.findall(r"[^\W_]+", keep)
+    if not raw:
+        return (None, None, None, *(quantity or (None,) * 3))
+    brand, kind, rest, *_ = STYLES[style](raw, [fold(w) for w in raw], brands, kinds)
+    return brand, kind, " ".join(rest) or None, *(quantity or (None,) * 3)
+
+
+def feature_reader(brands: list[str], kinds: list[str], styles: dict[str, str], default: str = "type_first"):
+    """A column function (supplier, name) → features; ``styles`` names each supplier's reader."""
+    if len(brands) + len(kinds) > MAX_WORDS:
+        raise ValueError(f"more than {MAX_WORDS} dictionary entries; read names by supplier with smaller dictionaries")
+
+    @F.pandas_udf(FEATURES)
+    def features(supplier: pd.Series, name: pd.Series) -> pd.DataFrame:
+        b, k = Dictionary(brands), Dictionary(kinds)
+        out = pd.DataFrame([read_name(n, styles.get(s, default), b, k) for s, n in zip(supplier, name)], columns=[f.name for f in FEATURES])
+        return out.astype({"qty": "float64", "pieces": "Int32"})
+
+    return features
+
+
+def extract_features(products: DataFrame, refs: DataFrame, styles: dict[str, str], only: Column | None = None) -> DataFrame:
+    """(supplier, sku, name, brand, product_type, variant, qty, unit, pieces) of the rows that ``only`` selects (all)."""
+    known = [(r.field, r.value) for r in refs.filter("field in ('brand', 'product_type') and value is not null").select("field", "value").limit(MAX_WORDS + 1).collect()]
+    reader = feature_reader([v for f, v in known if f == "brand"], [v for f, v in known if f == "product_type"], styles)
+    rows = products if only is None else products.filter(only)
+    return rows.select("supplier", "sku", "name", reader("supplier", "name").alias("f")).select("supplier", "sku", "name", "f.*")
