@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 FIELDS = ("brand", "product_type", "category")
 SHARD = 50_000
+MAX_CODES = 50_000
 CACHE = 200_000
 _SUFFIX = re.compile(r"(?:[\s,\-–]+(?:s\.?\s?a\.?(?:\s?i\.?\s?c\.?)?|s\.?\s?r\.?\s?l\.?|ltda\.?|argentina|linea hogar)|\s*\((?:r|tm)\)|\s*[®™])+\s*$")
 # What sellers type where they have nothing to say.
@@ -303,10 +304,9 @@ def map_values(products: DataFrame, refs: DataFrame, codes: DataFrame, shard: in
     )
     valid = refs.filter("ref_id is not null and field is not null and value is not null").select("ref_id", "field", "value")
     shards = max(1, -(-valid.count() // shard))
-    # A code list beyond a shard is no code list of this kind.
-    code_rows = [(r.cpath, r.name) for r in codes.filter("cpath is not null and name is not null").select("cpath", "name").limit(shard + 1).collect()]
-    if len(code_rows) > shard:
-        raise ValueError(f"more than {shard} category codes")
+    code_rows = [(r.cpath, r.name) for r in codes.filter("cpath is not null and name is not null").select("cpath", "name").limit(MAX_CODES + 1).collect()]
+    if len(code_rows) > MAX_CODES:
+        raise ValueError(f"more than {MAX_CODES} category codes")
     kind = T.ArrayType(T.StructType().add("field", T.StringType()).add("ref_id", T.LongType()).add("d", T.IntegerType()))
 
     def mapped(part: int) -> DataFrame:
