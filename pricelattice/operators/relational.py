@@ -45,7 +45,7 @@ def rule(frame: DataFrame, expression: str, columns: Sequence[str]) -> tuple[Dat
     try:
         return frame.filter(F.expr(expression)), None
     except Exception as error:  # noqa: BLE001 - whatever the parser or analyser says goes to the user
-        return frame, str(error).splitlines()[0]
+        return frame, next((x for x in str(error).splitlines() if x.strip()), type(error).__name__)
 
 
 def distinct_folded(frame: DataFrame, column: str) -> DataFrame:
