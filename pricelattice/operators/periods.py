@@ -59,13 +59,15 @@ def mark_missing(periods: DataFrame, seen: DataFrame, as_of) -> DataFrame:
 
     Periods already reaching ``as_of`` and listings among ``seen`` stay; nothing seen at all changes nothing.
     """
+    if seen.isEmpty():
+        return periods
     today = F.lit(as_of).cast("date")
     newest = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("first_seen"), F.desc("id")))
     here = seen.select(*KEY).distinct().withColumn("_seen", F.lit(True))
-    rows = periods.withColumn("_n", newest).join(here, KEY, "left").crossJoin(F.broadcast(seen.limit(1).agg(F.count("*").alias("_any"))))
-    late = (F.col("_n") == 1) & F.col("_seen").isNull() & (F.col("last_seen") < today) & (F.col("_any") > 0)
+    rows = periods.withColumn("_n", newest).join(here, KEY, "left")
+    late = (F.col("_n") == 1) & F.col("_seen").isNull() & (F.col("last_seen") < today)
     flags = F.concat("stock_flags", gap_fill(last_flag(F.col("stock_flags")), F.col("last_seen"), today), F.lit("0"))
-    return rows.withColumn("stock_flags", F.when(late, flags).otherwise(F.col("stock_flags"))).withColumn("last_seen", F.when(late, today).otherwise(F.col("last_seen"))).drop("_n", "_seen", "_any")
+    return rows.withColumn("stock_flags", F.when(late, flags).otherwise(F.col("stock_flags"))).withColumn("last_seen", F.when(late, today).otherwise(F.col("last_seen"))).drop("_n", "_seen")
 
 
 def daily_flags(periods: DataFrame) -> DataFrame:

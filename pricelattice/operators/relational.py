@@ -83,11 +83,13 @@ def longest_prefix(frame: DataFrame, text: str, prefixes: DataFrame, prefix: str
     split = lambda c: F.split(F.trim(F.regexp_replace(folded(c), r"\s+", " ")), " ")
     known = prefixes.select(F.col(prefix).alias("_p"), F.array_join(split(F.col(prefix)), " ").alias("_full"))
     known = known.withColumn("_head", F.array_join(F.slice(F.split("_full", " "), 1, words), " ")).filter("_head != ''").groupBy("_full", "_head").agg(F.min("_p").alias("_p"))
-    rows = frame.withColumn("_row", F.monotonically_increasing_id()).withColumn("_w", split(F.col(text)))
-    heads = rows.select("_row", F.array_join("_w", " ").alias("_t"), F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(words), F.size("_w"))), lambda n: F.array_join(F.slice("_w", F.lit(1), n), " "))).alias("_head"))
-    hit = heads.join(known, "_head").filter(F.concat("_t", F.lit(" ")).startswith(F.concat("_full", F.lit(" "))))
-    best = hit.groupBy("_row").agg(F.max_by("_p", F.struct(F.length("_full"), "_full")).alias(prefix))
-    return rows.join(best, "_row", "left").drop("_row", "_w")
+    rows = frame.withColumn("_t", F.array_join(split(F.col(text)), " "))
+    # Texts are looked up once each; the join back is on the text itself.
+    texts = rows.select("_t").distinct().withColumn("_w", F.split("_t", " "))
+    starts = F.transform(F.sequence(F.lit(1), F.least(F.lit(words), F.size("_w"))), lambda n: F.array_join(F.slice("_w", F.lit(1), n), " "))
+    hit = texts.select("_t", F.explode(starts).alias("_head")).join(known, "_head").filter(F.concat("_t", F.lit(" ")).startswith(F.concat("_full", F.lit(" "))))
+    best = hit.groupBy("_t").agg(F.max_by("_p", F.struct(F.length("_full"), "_full")).alias(prefix))
+    return rows.join(best, "_t", "left").drop("_t")
 
 
 def same_counts(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:

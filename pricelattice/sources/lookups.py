@@ -54,5 +54,5 @@ def longest_first(frame: DataFrame, column: str = "value", by_words: bool = Fals
 def table_brands(spark: SparkSession, path: str, column: int = 1) -> DataFrame:
     """(brand) of a fixed-width table with ``|`` borders, without its header and ``Generico``."""
     cells = lines(spark, path).filter("startswith(value, '|')").select("line", F.trim(F.get(F.split("value", "[|]"), F.lit(column))).alias("brand"))
-    head = cells.agg(F.min("line").alias("head"))
-    return cells.crossJoin(F.broadcast(head)).filter("line > head and brand != '' and lower(brand) != 'generico'").select("brand").distinct()
+    head = cells.agg(F.min("line")).first()[0]
+    return cells.filter((F.col("line") > F.lit(head)) & (F.col("brand") != "") & (F.lower("brand") != "generico")).select("brand").distinct()
