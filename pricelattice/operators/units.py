@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from pricelattice.functions.quantity import in_base, parse
 from pricelattice.functions.text import word_key
-from pricelattice.session import checkpointed
+from pricelattice.session import checkpointed, spread
 
 # Ratios that a typed value may stand off by (kilo for gram, ounce for gram, pound for gram, ...).
 CONVERSIONS = (1.0, 1000.0, 0.001, 10.0, 0.1, 100.0, 0.01, 28.349523125, 1 / 28.349523125, 453.59237, 1 / 453.59237, 29.5735295625, 1 / 29.5735295625, 12.0, 1 / 12)
@@ -142,7 +142,7 @@ def listing_quantities(products: DataFrame) -> DataFrame:
     entity = F.when(F.col("brand").isNotNull() & F.col("variant").isNotNull(), F.xxhash64(F.concat_ws("|", word_key(F.col("brand")), word_key(F.col("variant")))))
     # Texts are parsed once; linking, scales and answers read the narrow result.
     parsed = checkpointed(
-        one.withColumn("p", read_quantity("name", "size", F.col("size_value").cast("double"), "size_unit")).select("supplier", "sku", F.lower(F.trim("size_unit")).alias("size_unit"), entity.alias("entity"), "p.*")
+        spread(one).withColumn("p", read_quantity("name", "size", F.col("size_value").cast("double"), "size_unit")).select("supplier", "sku", F.lower(F.trim("size_unit")).alias("size_unit"), entity.alias("entity"), "p.*")
     )
     stated = parsed.filter("text_qty is not null").select("supplier", "sku", F.col("text_qty").alias("qty"), F.col("text_unit").alias("unit"), "pieces")
 

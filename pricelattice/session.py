@@ -44,3 +44,14 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
     return frame.checkpoint(eager=True)
+
+
+def spread(frame: DataFrame, bytes_a_core: int = 64 << 20) -> DataFrame:
+    """``frame`` over all cores, for work that is heavy a row.
+
+    Little data would otherwise sit in one or two tasks (one row group, partitions coalesced by size). By Catalyst's
+    estimate, from ``bytes_a_core`` a core on there are enough tasks anyway, and the rows stay where they are.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return frame.repartition(2 * cores) if size < cores * bytes_a_core else frame
