@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricelattice.session import spread
+
 SHARD = 20_000
 LEAST_WORDS = 15
 WINDOW, STEP = 64, 32  # words of a training passage, and words from one to the next
@@ -213,6 +215,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, shard: int = SHARD) ->
     valid = items.filter("item_id is not null and text is not null").select("item_id", "text", "answer").distinct()
     shards = max(1, -(-valid.count() // shard))
     texts = documents.filter("doc_id is not null and text is not null").select("doc_id", "text")
+    texts = spread(texts)
 
     def within(part: int) -> DataFrame:
         rows = sorted((r.item_id, r.text, r.answer or "") for r in valid.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == part).collect())

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pricelattice.session import spread
+
 FIELDS = ("brand", "product_type", "category")
 SHARD = 50_000
 MAX_CODES = 50_000
@@ -302,6 +304,7 @@ def map_values(products: DataFrame, refs: DataFrame, codes: DataFrame, shard: in
         .agg(F.max(F.struct("updated_at", *FIELDS)).alias("r"))
         .select("supplier", "sku", *[F.col(f"r.{f}").alias(f) for f in FIELDS])
     )
+    listing = spread(listing)
     valid = refs.filter("ref_id is not null and field is not null and value is not null").select("ref_id", "field", "value")
     shards = max(1, -(-valid.count() // shard))
     code_rows = [(r.cpath, r.name) for r in codes.filter("cpath is not null and name is not null").select("cpath", "name").limit(MAX_CODES + 1).collect()]

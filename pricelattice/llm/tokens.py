@@ -18,6 +18,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from pricelattice.session import spread
+
 BYTE_BPE_50K = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MAX_VOCABULARY = 64 << 20  # bytes of vocabulary file that may be broadcast
 # Fixed value: the pre-token pattern that the vocabulary was made with.
@@ -131,4 +133,4 @@ def encode_corpus(documents: DataFrame, vocabulary: str = BYTE_BPE_50K) -> DataF
                 ids = encoder.encode_batch(part.column("text").to_pylist())
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "ids": pa.array(ids, pa.list_(pa.int32()))})
 
-    return documents.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids array<int>")
+    return spread(documents.select("doc_id", "text")).mapInArrow(encode, "doc_id long, ids array<int>")
