@@ -45,3 +45,23 @@ def fixed_width(columns: dict[str, int], border: str = "|") -> Column:
     """One line a row: each column padded or cut to its width, between borders."""
     cells = [F.rpad(F.coalesce(F.col(c).cast("string"), F.lit("")), w, " ") for c, w in columns.items()]
     return F.concat(F.lit(border), F.concat_ws(border, *cells), F.lit(border))
+
+
+def key_measure_text(key: Column) -> Column:
+    """The measure of a canonical key in words: ``500g``, ``1.5kg``, ``330ml``, ``1.50L``, ``12 uni``, else ``?``."""
+    part = F.get(F.split(key, "[|]"), F.lit(3))
+    letter, n = F.substring(part, 1, 1), F.substring(part, 2, 30).try_cast("bigint")
+    weight = F.when(n < 1000, F.concat(n.cast("string"), F.lit("g"))).otherwise(F.format_string("%.1fkg", n / 1000.0))
+    volume = F.when(n < 1000, F.concat(n.cast("string"), F.lit("ml"))).otherwise(F.format_string("%.2fL", n / 1000.0))
+    return F.coalesce(F.when(letter == "W", weight).when(letter == "V", volume).when(letter == "U", F.concat(n.cast("string"), F.lit(" uni"))), F.lit("?"))
+
+
+def cell_text(price: Column, listed: Column) -> Column:
+    """A comparison cell: the price, ``N/A`` where the supplier lists it without one, else nothing."""
+    return F.when(price.isNotNull(), currency(price)).when(listed, "N/A").otherwise("")
+
+
+def step_of_spread(low: Column, high: Column) -> Column:
+    """A convenient step for choosing in a range of this width."""
+    width = (high - low).cast("double")
+    return F.when(width <= 5, 0.1).when(width <= 25, 0.25).when(width <= 100, 1.0).when(width <= 1000, 5.0).when(width.isNotNull(), 25.0)

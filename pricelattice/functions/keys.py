@@ -57,7 +57,7 @@ def title_from_slug(slug: Column) -> Column:
 
 def clean_category(raw: Column) -> Column:
     """Blanks collapsed, a trailing number or bracket dropped."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"\s+", " "), r"\s*\([^)]*\)\s*$", ""), r"\s+\d+$", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"(?U)\s+", " "), r"\s*\([^)]*\)\s*$", ""), r"\s+\d+$", ""))
 
 
 def folded(text: Column) -> Column:

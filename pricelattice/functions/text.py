@@ -31,3 +31,14 @@ def word_key(c: Column) -> Column:
     """
     words = F.split(F.trim(F.regexp_replace(F.lower(unaccent(c)), r"[^\p{L}\p{N}]+", " ")), " ")
     return F.array_join(F.array_sort(words), " ")
+
+
+# Words that stay lower case inside a title.
+SMALL_WORDS = ("y", "e", "o", "u", "de", "del", "la", "las", "el", "los", "en", "con", "sin", "para", "por", "al", "a")
+
+
+def clean_title(c: Column) -> Column:
+    """Blanks collapsed; each word capitalised, except small words after the first. Composed characters are expected."""
+    words = F.split(F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " ")), " ")
+    shown = F.transform(words, lambda w, i: F.when((i > 0) & w.isin(*SMALL_WORDS), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))))
+    return F.array_join(shown, " ")

@@ -77,3 +77,29 @@ def brand_groups(products: DataFrame, least_suppliers: int = 2) -> DataFrame:
     shown = spelt.groupBy("brand_norm").agg(F.min(F.struct(-F.col("n"), "brand")).getField("brand").alias("shown"))
     groups = counted.groupBy("brand_norm").agg(F.countDistinct("supplier").alias("suppliers"), F.sum("n").alias("listings")).filter(F.col("suppliers") >= least_suppliers)
     return groups.join(shown, "brand_norm")
+
+
+def led_groups(products: DataFrame, least: float = 0.82, block: int = 3) -> DataFrame:
+    """(leader, members, suppliers) of similar normalised brands, greedily in alphabetical order within a block.
+
+    The first free name of a block leads; later free names of at least that sequence ratio join it, unless both are
+    known from one and the same supplier only. A group stands if two suppliers are in it; its members are then taken.
+    A block holds the distinct brands that share their first letters.
+    """
+    known = products.select(brand_core(F.col("brand")).alias("name"), "supplier").filter("name is not null").groupBy("name").agg(F.array_sort(F.collect_set("supplier")).alias("suppliers"))
+
+    def lead(frame: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(zip(frame["name"], map(frozenset, frame["suppliers"])))
+        free, out = dict(names), []
+        for name, suppliers in names:
+            if name not in free:
+                continue
+            members = [name] + [n for n, s in names if n > name and n in free and not (s == suppliers and len(s) == 1) and sequence_ratio(name, n) >= least]
+            everyone = sorted(set().union(*(free[m] for m in members)))
+            if len(members) > 1 and len(everyone) > 1:
+                out.append((name, members, everyone))
+                for m in members:
+                    del free[m]
+        return pd.DataFrame(out, columns=["leader", "members", "suppliers"])
+
+    return known.groupBy(F.substring("name", 1, block).alias("block")).applyInPandas(lead, "leader string, members array<string>, suppliers array<string>")

@@ -663,3 +663,107 @@ def src09_catalog_json(s, d):
     payload = F.to_json(F.array(F.struct(F.concat_ws(" ", "supplier", "sku").alias("id"), F.col("price_unit").cast("double").alias("price"))))
     parsed = payloads.catalog_products(rows.select(payload.alias("payload")))
     return parsed.select(F.substring_index("sku", " ", 1).alias("supplier"), F.substring_index("sku", " ", -1).alias("sku"), "price_unit")
+
+
+# --- Further items of the inventory -----------------------------------------------------------------------
+
+
+@query()
+def qry16_sample(s, d):
+    """A random sample of 50 listings, the same for a seed and data."""
+    return _products(s, d).select("supplier", "sku", "name", "updated_at").orderBy(F.xxhash64("supplier", "sku", "updated_at", F.lit(7))).limit(50)
+
+
+@query(f"SELECT k, count(*) AS n, min(price) AS low, max(price) AS high, CASE WHEN max(price) - min(price) <= 5 THEN 0.1e0 WHEN max(price) - min(price) <= 25 THEN 0.25e0 WHEN max(price) - min(price) <= 100 THEN 1e0 WHEN max(price) - min(price) <= 1000 THEN 5e0 WHEN max(price) IS NOT NULL THEN 25e0 END AS step FROM ({_OFFERS}) GROUP BY k")
+def flt19_step(s, d):
+    groups = _offers(s, d).groupBy("k").agg(F.count("*").alias("n"), F.min("price").alias("low"), F.max("price").alias("high"))
+    return groups.withColumn("step", fmt.step_of_spread(F.col("low"), F.col("high")))
+
+
+@query("SELECT p.supplier, p.sku, s.price_unit FROM (SELECT DISTINCT supplier, sku FROM products) p JOIN (SELECT supplier, sku, price_unit FROM (SELECT *, row_number() OVER (PARTITION BY supplier, sku ORDER BY scraped_at DESC, id DESC) AS n FROM price_snapshots) WHERE n = 1) s ON p.supplier = s.supplier AND p.sku = s.sku")
+def jon04_latest_price(s, d):
+    return _products(s, d, "supplier", "sku").distinct().join(qry20_latest_snapshot(s, d).drop("scraped_at"), ["supplier", "sku"])
+
+
+@query(f"WITH o AS ({_OFFERS}) SELECT k, list_sort(list(concat_ws(' ', supplier, sku, price))) AS details FROM o GROUP BY k HAVING count(DISTINCT supplier) > 2")
+def agg15_details(s, d):
+    line = F.concat_ws(" ", "supplier", "sku", F.col("price").cast("string"))
+    group = _offers(s, d).groupBy("k").agg(F.countDistinct("supplier").alias("n"), F.array_sort(F.collect_list(line)).alias("details"))
+    return group.filter("n > 2").select("k", "details")
+
+
+@query("SELECT supplier, count(*) AS total, count(CASE WHEN classification_confidence = 'high' THEN 1 END) AS high, count(CASE WHEN classification_confidence = 'low' THEN 1 END) AS low FROM products GROUP BY 1")
+def agg19_confidence_counts(s, d):
+    level = lambda x: F.count_if(F.col("classification_confidence") == x).alias(x)
+    return _products(s, d).groupBy("supplier").agg(F.count("*").alias("total"), level("high"), level("low"))
+
+
+@query("SELECT max(length(supplier)) AS supplier, max(length(sku)) AS sku, max(length(name)) AS name, max(length(CAST(price_unit AS VARCHAR))) AS price_unit FROM products")
+def agg29_column_widths(s, d):
+    return _products(s, d).agg(*[F.max(F.length(F.col(c).cast("string"))).alias(c) for c in ("supplier", "sku", "name", "price_unit")])
+
+
+@query("SELECT supplier, CAST(started_at AS DATE) AS day, status, date_diff('day', lag(CAST(started_at AS DATE)) OVER (PARTITION BY supplier ORDER BY started_at, id), CAST(started_at AS DATE)) AS days_since FROM run_log")
+def dat01_days_between_runs(s, d):
+    from pyspark.sql import Window
+
+    day = F.to_date("started_at")
+    before = F.lag(day).over(Window.partitionBy("supplier").orderBy("started_at", "id"))
+    return read_table(s, d, "run_log").select("supplier", day.alias("day"), "status", F.datediff(day, before).alias("days_since"))
+
+
+@query("SELECT id, coalesce(nullif(right(stock_flags, 1), ''), '1') AS last_flag, repeat(coalesce(nullif(right(stock_flags, 1), ''), '1'), greatest(0, DATE '2025-07-10' - last_seen - 1)) AS filled FROM price_history")
+def snk03_gap_fill(s, d):
+    flag = periods.last_flag(F.col("stock_flags"))
+    return read_table(s, d, "price_history").select("id", flag.alias("last_flag"), periods.gap_fill(flag, F.col("last_seen"), F.lit(AS_OF).cast("date")).alias("filled"))
+
+
+_SMALL = ", ".join(f"'{w}'" for w in text.SMALL_WORDS)
+
+
+@query(
+    f"""SELECT DISTINCT name, array_to_string(list_transform(w, lambda x, i: CASE WHEN i > 1 AND x IN ({_SMALL}) THEN x ELSE upper(substr(x, 1, 1)) || substr(x, 2) END), ' ') AS title
+FROM (SELECT name, string_split(trim(regexp_replace(lower(name), '\\s+', ' ', 'g')), ' ') AS w FROM products WHERE name IS NOT NULL AND NOT contains(name, chr(160)))"""
+)
+def str_f08_title(s, d):
+    return _products(s, d, "name").filter(F.col("name").isNotNull() & ~F.col("name").contains(" ")).select("name", text.clean_title(F.col("name")).alias("title")).distinct()
+
+
+@query(
+    """WITH m AS (SELECT DISTINCT canonical_key, string_split(canonical_key, '|')[4] AS p FROM products WHERE canonical_key IS NOT NULL), n AS (SELECT *, substr(p, 1, 1) AS l, TRY_CAST(substr(p, 2) AS BIGINT) AS n FROM m)
+SELECT canonical_key, coalesce(CASE WHEN l = 'W' THEN CASE WHEN n < 1000 THEN n || 'g' ELSE printf('%.1fkg', n / 1000e0) END WHEN l = 'V' THEN CASE WHEN n < 1000 THEN n || 'ml' ELSE printf('%.2fL', n / 1000e0) END WHEN l = 'U' THEN n || ' uni' END, '?') AS measure FROM n"""
+)
+def str_f17_measure(s, d):
+    return _products(s, d, "canonical_key").filter("canonical_key is not null").select("canonical_key", fmt.key_measure_text(F.col("canonical_key")).alias("measure")).distinct()
+
+
+@query("SELECT DISTINCT category, trim(regexp_replace(regexp_replace(regexp_replace(replace(category, chr(160), ' '), '\\s+', ' ', 'g'), '\\s*\\([^)]*\\)\\s*$', ''), '\\s+\\d+$', '')) AS clean FROM products")
+def str_f23_clean_category(s, d):
+    return _products(s, d, "category").select("category", keys.clean_category(F.col("category")).alias("clean")).distinct()
+
+
+@query("SELECT supplier, sku, price_unit, units_per_package, floor(CAST(price_unit AS DOUBLE) * units_per_package * 100e0 + 0.5e0) / 100e0 AS bulk FROM products")
+def num_f09_bulk(s, d):
+    rows = _products(s, d, "supplier", "sku", "price_unit", "units_per_package")
+    return rows.withColumn("bulk", num.half_up(F.col("price_unit").cast("double") * F.col("units_per_package")))
+
+
+@query("SELECT supplier, sku, CASE WHEN price_unit IS NOT NULL THEN '$' || format('{:,.2f}', price_unit) WHEN stock IS NOT NULL THEN 'N/A' ELSE '' END AS cell FROM products")
+def fmt03_cell(s, d):
+    return _products(s, d).select("supplier", "sku", fmt.cell_text(F.col("price_unit"), F.col("stock").isNotNull()).alias("cell"))
+
+
+_BLANKS = lambda c: f"coalesce(trim(regexp_replace(replace({c}, chr(160), ' '), '\\s+', ' ', 'g')), '')"
+
+
+@query(
+    f"""SELECT supplier, sku, CASE WHEN b = '' THEN t WHEN starts_with(upper(t), upper(b)) THEN t ELSE b || ' ' || t END AS described
+FROM (SELECT *, CASE WHEN length(n) >= length(c) THEN n ELSE c END AS t FROM (SELECT supplier, sku, {_BLANKS("brand")} AS b, {_BLANKS("name")} AS n, {_BLANKS("canonical_name")} AS c FROM products))"""
+)
+def src11_name(s, d):
+    return _products(s, d).select("supplier", "sku", payloads.described_name(F.col("brand"), F.col("name"), F.col("canonical_name")).alias("described"))
+
+
+@query()
+def sim01_led_brand_groups(s, d):
+    return brands.led_groups(_products(s, d, "brand", "supplier"))

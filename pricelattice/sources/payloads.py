@@ -55,9 +55,10 @@ def _typed(ddl: str) -> str:
 
 def described_name(brand: Column, large: Column, small: Column) -> Column:
     """The longer description (ties: large) with the brand before it unless it starts with it."""
-    large, small = F.coalesce(F.trim(large), F.lit("")), F.coalesce(F.trim(small), F.lit(""))
+    blanks = lambda c: F.coalesce(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), F.lit(""))
+    brand, large, small = blanks(brand), blanks(large), blanks(small)
     text = F.when(F.length(large) >= F.length(small), large).otherwise(small)
-    return F.when(F.coalesce(F.trim(brand), F.lit("")) == "", text).when(F.startswith(F.upper(text), F.upper(F.trim(brand))), text).otherwise(F.concat_ws(" ", F.trim(brand), text))
+    return F.when((brand == "") | F.startswith(F.upper(text), F.upper(brand)), text).otherwise(F.concat_ws(" ", brand, text))
 
 
 def catalog_products(payloads: DataFrame, column: str = "payload") -> DataFrame:
