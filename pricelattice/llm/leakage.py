@@ -134,6 +134,24 @@ class BlockMaxIndex:
         return found
 
 
+def word_masks(passage: list[str]) -> dict[str, int]:
+    """For each word of a passage the bits of its places."""
+    masks: dict[str, int] = defaultdict(int)
+    for i, w in enumerate(passage):
+        masks[w] |= 1 << i
+    return dict(masks)
+
+
+def common_words(masks: dict[str, int], places: int, words: list[str]) -> int:
+    """Length of the longest common subsequence of a passage and a text, all places at once in the bits of a number."""
+    full = (1 << places) - 1
+    row = full
+    for w in words:
+        if hit := row & masks.get(w, 0):
+            row = ((row + hit) | (row - hit)) & full
+    return places - row.bit_count()
+
+
 def aligned_words(passage: list[str], words: list[str]) -> int:
     """Most words of the passage that the text repeats in order.
 
@@ -176,8 +194,9 @@ class LeakFinder:
         for item_id, text, answer in items:
             passage, question, options = split_item(text)
             chosen = re.search(rf"\b{re.escape(answer)}\)\s*([^\s)]+(?:\s+(?!\w\))[^\s)]+)*)", options) if answer else None
-            self.items.append((item_id, fold_words(passage), set(fold_words(question)), fold_words(chosen[1]) if chosen else []))
-        self.index = BlockMaxIndex([p for _, p, _, _ in self.items])
+            folded = fold_words(passage)
+            self.items.append((item_id, folded, word_masks(folded), set(fold_words(question)), fold_words(chosen[1]) if chosen else []))
+        self.index = BlockMaxIndex([item[1] for item in self.items])
         self.vocabulary = frozenset(self.index.top)
 
     def find(self, text: str) -> list[tuple[int, int, float, bool]]:
@@ -190,8 +209,9 @@ class LeakFinder:
             candidates.update(self.index.retrieve(self.vocabulary.intersection(words[k : k + WINDOW])))
         out, there = [], set(words)
         for k in sorted(candidates):
-            item_id, passage, question, answer = self.items[k]
-            if len(there.intersection(passage)) * 2 < LEAST_WORDS // 2:
+            item_id, passage, masks, question, answer = self.items[k]
+            # An alignment is a common subsequence: where the longest is too short, there is none.
+            if common_words(masks, len(passage), words) < LEAST_WORDS:
                 continue
             matched = aligned_words(passage, words)
             if matched >= LEAST_WORDS:

@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from pricelattice.llm.leakage import BlockMaxIndex, LeakFinder, aligned_words, fold_words, leaked_items, split_item
+from pricelattice.llm.leakage import BlockMaxIndex, LeakFinder, aligned_words, common_words, fold_words, leaked_items, split_item, word_masks
 
 PASSAGE = "La sastra subió 414 tambores grises junto al aserradero aunque frente al teatro la escultora midió velas ilegibles después del eclipse con mucha paciencia"
 ITEM = f"Lea con atención el pasaje.\n{PASSAGE}\n¿Cuántos botones lavó el guardabosque?\nA) 451 B) 566"
@@ -35,6 +35,12 @@ def test_alignment_against_brute_force():
     for _ in range(150):
         p, w = [[r.choice("abcdef") for _ in range(r.randint(1, 8))] for _ in range(2)]
         assert aligned_words(p, w) == slow_alignment(tuple(p), tuple(w)), (p, w)
+        row = [0] * (len(w) + 1)
+        for x in p:
+            left = 0
+            for j, y in enumerate(w, 1):
+                left, row[j] = row[j], left + 1 if x == y else max(row[j], row[j - 1])
+        assert common_words(word_masks(p), len(p), w) == row[-1] >= aligned_words(p, w)
 
 
 def test_wand_against_exhaustive():
