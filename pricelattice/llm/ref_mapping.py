@@ -280,7 +280,7 @@ class Mapper:
         return self.cache[key]
 
 
-_MAPPERS: dict[int, Mapper] = {}  # of the worker process, by broadcast
+_MAPPERS: dict[int, Mapper] = {}  # of the worker process, by the hash of what they are built from
 
 
 def build_mapper(refs: list[tuple[int, str, str]], codes: list[tuple[str, str]]) -> Mapper:
@@ -315,12 +315,13 @@ def map_values(products: DataFrame, refs: DataFrame, codes: DataFrame, shard: in
     def mapped(part: int) -> DataFrame:
         rows = [(r.ref_id, r.field, r.value) for r in valid.filter(F.pmod(F.xxhash64("ref_id", "field", "value"), F.lit(shards)) == part).collect()]
         shared = spark.sparkContext.broadcast((rows, code_rows))
+        key = hash((tuple(rows), tuple(code_rows)))
 
         @F.pandas_udf(kind)
         def look_up(brand: pd.Series, product_type: pd.Series, category: pd.Series) -> pd.Series:
-            mapper = _MAPPERS.get(shared.id if hasattr(shared, "id") else id(shared))
+            mapper = _MAPPERS.get(key)
             if mapper is None:
-                mapper = _MAPPERS[shared.id if hasattr(shared, "id") else id(shared)] = build_mapper(*shared.value)
+                mapper = _MAPPERS[key] = build_mapper(*shared.value)
             out = []
             for row in zip(brand, product_type, category):
                 hits = []
