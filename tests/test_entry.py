@@ -11,10 +11,10 @@ from tests.frames import frame
 T, D = dt.datetime(2025, 3, 3, 6), dt.date(2025, 3, 3)
 PRODUCTS = (
     "sku string, supplier string, name string, url string, category string, updated_at timestamp_ntz, product_id string, brand string, product_type string, variant string, size string, "
-    "size_value decimal(12,4), size_unit string, canonical_key string, canonical_name string, classification_status string, classification_confidence string, price_unit decimal(12,2), price_bulk decimal(12,2), stock string, _run int"
+    "size_value decimal(12,4), size_unit string, canonical_key string, canonical_name string, classification_status string, classification_confidence string, price_unit decimal(12,2), price_bulk decimal(12,2), stock string, units_per_package int, _run int"
 )
 TABLES = {
-    "products": (PRODUCTS, [("1", s, "Miel Pura 500 g", "https://a.test/p/1", "Almacén > Infusiones", T, s + "_1", "Ab", "Miel", "Pura", None, 500, "g", None, None, "pending", None, 10, 9, "disponible", 1) for s in ("pasoviejo", "norvalle")] + [(None,) * 21]),
+    "products": (PRODUCTS, [("1", s, "Miel Pura 500 g", "https://a.test/p/1", "Almacén > Infusiones", T, s + "_1", "Ab", "Miel", "Pura", None, 500, "g", None, None, "pending", None, 10, 9, "disponible", 6, 1) for s in ("pasoviejo", "norvalle")] + [(None,) * 22]),
     "price_snapshots": ("id long, sku string, supplier string, scraped_at date, price_unit decimal(12,2), price_bulk decimal(12,2), stock string, k int", [(n, "1", "pasoviejo", D, 10, 9, "uxb:2", 1) for n in range(3)] + [(9,) + (None,) * 7]),
     "price_history": ("id long, sku string, supplier string, price_unit decimal(12,2), first_seen date, last_seen date, stock_flags string, block int", [(1, "1", "pasoviejo", 10, D, D, "1", 1), (None,) * 8]),
     "run_log": ("id long, supplier string, started_at timestamp_ntz, finished_at timestamp_ntz, status string, categories_total int, categories_done int, products_scraped int, snapshots_written int, error_message string", [(1, "pasoviejo", T, None, "success", 1, 1, 1, 0, None), (None,) * 10]),
