@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricelattice.functions.keys import brand_core
+from pricelattice.functions.keys import brand_core, sorted_words
 from pricelattice.session import checkpointed
 
 
@@ -18,12 +18,15 @@ def token_sort_ratio(a: str, b: str) -> float:
     a, b = (" ".join(sorted(x.split())) for x in (a, b))
     if not a and not b:
         return 100.0
-    row = [0] * (len(b) + 1)
+    at: dict[str, int] = {}
+    for n, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << n
+    # Hyyrö's bit-parallel longest common subsequence: its length is the number of cleared bits.
+    full = open_ = (1 << len(b)) - 1
     for x in a:
-        left = 0
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], left + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+        u = open_ & at.get(x, 0)
+        open_ = ((open_ + u) | (open_ - u)) & full
+    return 200.0 * (len(b) - open_.bit_count()) / (len(a) + len(b))
 
 
 def sequence_ratio(a: str, b: str) -> float:
@@ -38,16 +41,29 @@ def _pairwise(measure):
     return score
 
 
-def similar_brands(brands: DataFrame, column: str = "brand", least: float = 82.0, block: int = 3) -> DataFrame:
-    """(a, b, score) of distinct normalised brands that share their first letters and reach the ratio, a < b.
+def similar_brands(brands: DataFrame, column: str = "brand", least: float = 82.0) -> DataFrame:
+    """(a, b, score) of all pairs of distinct normalised brands that reach the ratio (above 0), a < b.
 
-    An equi-join on the block turns all pairs into pairs of a block; the table has one row a distinct brand. Lengths
-    that can't reach the ratio are dropped before Python sees the pair.
+    No pair is lost: texts of m and n letters at the ratio share ``least * (m + n) / 200`` letters, counting repeats,
+    so of each text's letters, rarest first, all but that many plus one must hold a common one. The equi-join is on
+    that letter and both lengths; a pair comes out at its first common letter, and is scored if enough letters agree.
     """
-    names = brands.select(brand_core(F.col(column)).alias("n")).filter("n is not null").distinct().withColumn("block", F.substring("n", 1, block))
-    a, b = names.toDF("a", "block"), names.toDF("b", "block")
-    least_possible = F.least(F.length("a"), F.length("b")) * 200 / (F.length("a") + F.length("b"))
-    pairs = a.join(b, "block").filter(F.col("a") < F.col("b")).filter(least_possible >= least)
+    if least <= 0:
+        raise ValueError("least must be above 0")
+    names = brands.select(brand_core(F.col(column)).alias("n")).filter("n is not null").distinct()
+    letters = F.split(sorted_words(F.col("n")), "")
+    # The k-th of equal letters is a token of its own, which makes the bag of letters a set.
+    tokens = F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, 1, i + 1), lambda x: x == c)).cast("string")))
+    spelt = checkpointed(names.select("n", F.length("n").alias("own"), tokens.alias("tokens")))
+    each = spelt.select("n", "own", F.explode("tokens").alias("token"))
+    ordered = each.join(each.groupBy("token").agg(F.count("*").alias("f")), "token").groupBy("n", "own").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).getField("token").alias("tokens"))
+    # One row a length that occurs; only lengths that can reach the ratio meet.
+    shared = F.ceil(least * (F.col("own") + F.col("other")) / 200 - 1e-9).cast("int")
+    met = ordered.join(F.broadcast(spelt.select(F.col("own").alias("other")).distinct()), shared <= F.least("own", "other")).withColumn("shared", shared)
+    first = met.withColumn("first", F.slice("tokens", F.lit(1), F.greatest(F.col("own") - F.col("shared") + 1, F.lit(0)))).withColumn("token", F.explode("first"))
+    a = first.select("token", F.col("own").alias("m"), F.col("other").alias("k"), F.col("n").alias("a"), F.col("first").alias("first_a"), F.col("tokens").alias("tokens_a"), "shared")
+    b = first.select("token", F.col("other").alias("m"), F.col("own").alias("k"), F.col("n").alias("b"), F.col("first").alias("first_b"), F.col("tokens").alias("tokens_b"))
+    pairs = a.join(b, ["token", "m", "k"]).filter("a < b").filter(F.array_intersect("first_a", "first_b")[0] == F.col("token")).filter(F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.col("shared"))
     return pairs.withColumn("score", _pairwise(token_sort_ratio)("a", "b")).filter(F.col("score") >= least).select("a", "b", "score")
 
 

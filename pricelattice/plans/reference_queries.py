@@ -256,7 +256,7 @@ def jon08_longest_prefix(s, d):
 
 @query()
 def jon10_similar_brands(s, d):
-    return brands.similar_brands(read_table(s, d, "ref_values").filter("field = 'brand'").select(F.col("value").alias("brand")), least=70.0)
+    return brands.similar_brands(_products(s, d, "brand"), least=70.0)
 
 
 @query(

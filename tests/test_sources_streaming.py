@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +103,20 @@ def test_brands(spark):
     assert {r.cluster for r in linked_clusters(chain).collect()} == {"n00", "x"}
 
 
+@pytest.mark.parametrize("least", [82.0, 70.0, 35.0, 100.0])
+def test_similar_brands_against_all_pairs(spark, least):
+    r = random.Random(3)
+    names = {"SAN ROQUE", "ROQUE SAN", "KUDRODIAX", "UKDRODIAX", "AKUDRODIAX", "A", "AB", "B A", "AAAA", "AAAAA", "0", "LA LUMCOM", "LUMCON LA"}
+    for _ in range(40):
+        word = [r.choice("ABCDE ") for _ in range(r.randint(2, 12))]
+        for _ in range(3):
+            word[r.randrange(len(word))] = r.choice("ABCDE ")
+            names.add(" ".join("".join(word).split()) or "X")
+    want = {(a, b): token_sort_ratio(a, b) for a in names for b in names if a < b and token_sort_ratio(a, b) >= least}
+    got = [((x.a, x.b), x.score) for x in similar_brands(spark.createDataFrame([(n,) for n in names], "brand string"), least=least).collect()]
+    assert sorted(got) == sorted(want.items()) and ("ROQUE SAN", "SAN ROQUE") in want
+
+
 @pytest.mark.parametrize(
     "style,name", [("type_first", "Miel Kudrodiax Pura 500 g"), ("brand_first", "KUDRODIAX Miel Pura 500g"), ("either", "Kudrodiax Miel Pura 500 g"), ("capitals", "Miel KUDRODIAX Pura x 500 g"), ("size_last", "Pura Miel Kudrodiax 500 g")]
 )
