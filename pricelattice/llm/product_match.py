@@ -1,7 +1,8 @@
 """Listings of the same product: multi-pass sorted neighbourhood, soft token alignment, correlation clustering.
 
 Each listing is read into a signature: quantity of a piece, unit, pieces, brand, type and the words of the
-variant, each word brought to the corpus' own vocabulary where it is a slip or an unambiguous abbreviation.
+variant, each word brought to the corpus' own vocabulary where it is a slip or an unambiguous abbreviation of a clearly
+commoner word.
 Listings of equal signature are one node. Nodes are sorted by several token orders of the signature, neighbours
 in a sliding window are compared by soft token alignment, and the graph of similar nodes is clustered by the
 pivot rule of correlation clustering: in rounds, the nodes that outrank all their open neighbours become
@@ -23,20 +24,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelattice.functions.quantity import spans
-from pricelattice.functions.text import word_key
+from pricelattice.functions.text import unaccent
 from pricelattice.llm.ref_mapping import Mapper, Trie, build_mapper, osa, squeeze, words
 from pricelattice.operators.units import listing_quantities
 from pricelattice.session import checkpointed, spread
 
 WINDOW = 12
 MAX_REFS = 50_000
-RARE = 5e-4  # a word of the variant vocabulary stands in at least this share of the variants (3 at least)
+COMMONER = 4  # so many times as frequent a word makes one an edit away its slip; for two edits, its square
 # Words that introduce a variant without being part of it.
 INTRODUCING = frozenset("sabor c con sin aroma fragancia x".split())
 SIGNATURE = ["qty", "unit", "pieces", "brand", "kind", "variant"]
 _NODE = "node long, qty long, unit string, pieces int, brand string, kind string, variant string, members long, k string"
 
 
+def edit_reach(word: str) -> int:
+    return 0 if len(word) < 4 else 1 if len(word) < 7 else 2
+
+
+def variant_words(counts: list[tuple[str, int, int]]) -> list[str]:
+    """The genuine ones of (word, times, times with a full stop): not slips or abbreviations of a clearly commoner word.
+
+    A word that mostly has a full stop is an abbreviation already of a longer word as frequent as itself. However
+    rare a word is, it is genuine if no such word is near.
+    """
+    times = {w: n for w, n, _ in counts}
+    cut = {w for w, n, stops in counts if 2 * stops > n}
+    continued: dict[str, int] = {}  # the greatest frequency of a longer word by its beginning
+    for w in times.keys() - cut:
+        for end in range(3, len(w)):
+            continued[w[:end]] = max(continued.get(w[:end], 0), times[w])
+    genuine, known = [], Trie({})
+    for w, n in sorted(times.items(), key=lambda x: (-x[1], x[0])):
+        if continued.get(w, 0) >= n * (1 if w in cut else COMMONER):
+            continue
+        if (reach := edit_reach(w)) and any(times[v] >= COMMONER**edits * n for v, edits in known.within(w, reach).items()):
+            continue
+        known.add(w, {w})
+        genuine.append(w)
+    return sorted(genuine)
+
+
 class Reader:
     """Turns a listing's texts into (brand, kind, variant)."""
 
@@ -83,7 +111,7 @@ class Reader:
                 return longer[0] if len(longer) == 1 else word + "*"
         if word in self.vocabulary:
             return word
-        reach = 0 if len(word) < 4 else 1 if len(word) < 7 else 2
+        reach = edit_reach(word)
         if not reach:
             return None
         _, near = self.near_words.nearest(word, reach)
@@ -289,10 +317,11 @@ def signatures(products: DataFrame, refs: DataFrame) -> DataFrame:
     entries = [(r.ref_id, r.field, r.value) for r in valid.limit(MAX_REFS + 1).collect()]
     if len(entries) > MAX_REFS:  # beyond the bound brands and kinds are compared as typed
         entries = None
-    said = one.filter("variant is not null").select(F.explode(F.split(word_key(F.col("variant")), " ")).alias("w"))
-    least = max(3, RARE * one.filter("variant is not null").count())
-    # At most (words a variant) / RARE words reach the threshold.
-    vocabulary = sorted(r.w for r in said.filter(F.length("w") > 2).groupBy("w").count().filter(F.col("count") >= least).collect() if not r.w.isdigit() and r.w not in INTRODUCING)
+    said = one.filter("variant is not null").select(F.explode(F.regexp_extract_all(F.lower(unaccent(F.col("variant"))), F.lit(r"[\p{L}\p{N}]+\.?"), F.lit(0))).alias("t"))
+    said = said.select(F.rtrim(F.col("t"), F.lit(".")).alias("w"), F.endswith("t", F.lit(".")).cast("int").alias("stop")).filter(F.length("w") > 2)
+    # One row a distinct word.
+    counts = [(r.w, r.n, r.stops) for r in said.groupBy("w").agg(F.count("*").alias("n"), F.sum("stop").alias("stops")).collect()]
+    vocabulary = variant_words([x for x in counts if not x[0].isdigit() and x[0] not in INTRODUCING])
     shared = spark.sparkContext.broadcast((entries, vocabulary))
     key = hash((tuple(entries or ()), tuple(vocabulary)))
 

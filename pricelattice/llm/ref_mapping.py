@@ -161,10 +161,13 @@ class Trie:
     def __init__(self, words: dict[str, set]):
         self.root: dict = {}
         for word, values in words.items():
-            node = self.root
-            for c in word:
-                node = node.setdefault(c, {})
-            node[""] = values
+            self.add(word, values)
+
+    def add(self, word: str, values: set) -> None:
+        node = self.root
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = values
 
     def within(self, word: str, edits: int) -> dict:
         """Every value with a word within ``edits``, and the distance of its nearest one."""

@@ -3,7 +3,7 @@ import itertools
 
 import pytest
 
-from pricelattice.llm.product_match import alignment, correlation_clusters, matched_pairs, neighbourhood
+from pricelattice.llm.product_match import alignment, correlation_clusters, matched_pairs, neighbourhood, variant_words
 from tests.frames import frame
 
 COLS = "supplier string, sku string, product_id string, updated_at timestamp_ntz, name string, brand string, product_type string, variant string, size string, size_value decimal(12,4), size_unit string, node int"
@@ -36,6 +36,18 @@ def test_pairs(spark):
     assert matched_pairs(frame(spark, [], COLS), refs).count() == 0
 
 
+def test_rare_words_tell_articles_apart(spark):
+    rows = [listing(n, f"Miel {v} Kudrodiax 500 g", variant=v) for n, v in enumerate(["Canela Salmón", "Salmón Canela", "Canela Búfalo", "Vacuno", "Vacuno", "Canela", "Canela"])]
+    rows += [listing(20 + n, "Miel Canela La Lumcom 2 kg", "La Lumcom", variant="Canela") for n in range(40)]
+    got = {tuple(r) for r in matched_pairs(frame(spark, rows, COLS), spark.createDataFrame(REFS, "ref_id long, field string, value string")).collect()}
+    assert {(0, 1), (3, 4), (5, 6)} <= {(int(a[1:]), int(b[1:])) for a, b in got} and not {("p00", "p02"), ("p01", "p02"), ("p03", "p05")} & got
+
+
+def test_variant_words():
+    counts = [("marina", 1400, 0), ("sardina", 200, 3), ("sarrdina", 2, 0), ("vacuno", 1, 0), ("intenso", 50, 0), ("inte", 9, 9), ("intens", 3, 0), ("cordero", 4, 0), ("pavo", 3, 0), ("pato", 4, 0)]
+    assert variant_words(counts) == sorted(["marina", "sardina", "vacuno", "intenso", "cordero", "pavo", "pato"])
+
+
 def test_alignment():
     assert alignment(["canela", "suave"], ["suave", "canela"]) == 1.0
     assert 0.8 < alignment(["canela", "int*"], ["intenso", "canela"]) < 1
