@@ -325,6 +325,7 @@ def implausible_prices(snapshots: DataFrame, hot_rows: int = HOT_ROWS) -> DataFr
     if collapsed is not None:
         wrong = collapsed.join(parameters, "supplier").sortWithinPartitions(*order).mapInArrow(_judged_values, "supplier string, sku string, day date, field string, value double")
         for field in FIELDS:
-            mine = wrong.filter(F.col("field") == field).select("supplier", "sku", "day", F.col("value").alias(field), "field")
-            out = out.unionByName(rows.filter(key.isin(hot)).join(mine, ["supplier", "sku", "day", field]).select("id", "field"))
+            # A value stands in several collapsed rows if the other price of its date varies; each row of the date is one case.
+            mine = wrong.filter(F.col("field") == field).select("supplier", "sku", "day", F.col("value").alias(field))
+            out = out.unionByName(rows.filter(key.isin(hot)).join(mine, ["supplier", "sku", "day", field], "left_semi").select("id", F.lit(field).alias("field")))
     return out
