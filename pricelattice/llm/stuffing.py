@@ -6,7 +6,7 @@ three against prose of the same language and comparable length are candidates. A
 the candidate's whole text, what share of its characters stands in strings of keywords, tags and links.
 
 Scale: one shuffle of the texts on doc_id; token counts, windows, fits and the final semi-join reuse that
-partitioning. The norms have one row a language and power of two of the length.
+partitioning. The norms, over prose only, have one row a language and power of two of the length.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ TOKEN = r"https?://[^\s<>\"')\]]+|www\.[^\s<>\"')\]]+|#?[\p{L}\p{N}][\p{L}\p{N}\
 LEAST_ITEMS = 8
 BREAK = 5  # a sentence word outweighs so many items
 SHARE = 0.5  # of the characters
+LEAST_SPOKEN = 0.08  # of the letters of prose stand in sentence words
 
 _CODE_BLOCK = re.compile(r"```.*?(?:```|\Z)|<(pre|code)\b.*?(?:</\1>|\Z)", re.S | re.I)
 _CODE_LINE = re.compile(
@@ -161,13 +162,16 @@ def extreme_pages(curves: DataFrame) -> DataFrame:
     """doc_id of pages extreme in slope, residual or divergence among pages of their language and length."""
     sized = curves.withColumn("bucket", F.floor(F.log2("tokens")))
     at = lambda c, q: F.expr(f"percentile_approx({c}, {q}, 1000)")
-    norms = sized.groupBy("language", "bucket").agg(at("spoken", 0.5).alias("spoken_mid"), *[at(c, q).alias(f"{c}_{n}") for c in ("slope", "residual") for q, n in ((0.05, "low"), (0.95, "high"))])
-    # Prose of a length has its median only where prose prevails; elsewhere the language's own median holds.
-    whole = sized.groupBy("language").agg(at("spoken", 0.5).alias("spoken_all"))
-    met = sized.join(F.broadcast(norms), ["language", "bucket"]).join(F.broadcast(whole), "language")
-    usual = F.greatest("spoken_mid", "spoken_all", F.lit(0.08))
+    # Only prose makes the norms, so that no share of other pages moves them.
+    prose = sized.filter(F.col("spoken") >= LEAST_SPOKEN)
+    norms = prose.groupBy("language", "bucket").agg(at("spoken", 0.5).alias("spoken_mid"), *[at(c, q).alias(f"{c}_{n}") for c in ("slope", "residual") for q, n in ((0.05, "low"), (0.95, "high"))])
+    # Where little prose has a page's length, the language's own median holds as well.
+    whole = prose.groupBy("language").agg(at("spoken", 0.5).alias("spoken_all"))
+    met = sized.join(F.broadcast(norms), ["language", "bucket"], "left").join(F.broadcast(whole), "language", "left")
+    usual = F.greatest("spoken_mid", "spoken_all", F.lit(LEAST_SPOKEN))
     outside = [(F.col(c) < F.col(f"{c}_low")) | (F.col(c) > F.col(f"{c}_high")) for c in ("slope", "residual")]
-    return met.filter((F.col("spoken") < 0.9 * usual) | outside[0] | outside[1]).select("doc_id")
+    # Without prose to compare with, a page is a candidate.
+    return met.filter((F.col("spoken") < 0.9 * usual) | F.coalesce(outside[0], F.lit(True)) | F.coalesce(outside[1], F.lit(True))).select("doc_id")
 
 
 def stuffed_pages(documents: DataFrame) -> DataFrame:

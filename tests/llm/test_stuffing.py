@@ -2,7 +2,7 @@ import math
 
 import pytest
 
-from pricelattice.llm.stuffing import page_curves, stuffed_pages, stuffed_share
+from pricelattice.llm.stuffing import extreme_pages, page_curves, stuffed_pages, stuffed_share
 
 PROSE = "No encuentro la manera de cruzar dos planillas porque el proceso queda colgado. Cuando intento leer el archivo, los acentos salen rotos y la memoria se llena. "
 STUFFED = [
@@ -48,3 +48,12 @@ def test_frame(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, tokens string")
     assert sorted(r.doc_id for r in stuffed_pages(frame).collect()) == list(range(len(STUFFED)))
     assert stuffed_pages(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("spam", [0, 60, 2000])
+def test_norms_are_those_of_prose(spark, spam):
+    """However many pages without sentence words there are, a page half as spoken as prose is a candidate, and so are they."""
+    rows = [(n, 100, 60, -0.5 + n / 1000, 0.1 + n / 1000, 0.17, "en") for n in range(40)] + [(100, 100, 60, -0.48, 0.12, 0.1, "en"), (101, 100, 60, -0.48, 0.12, 0.17, "en"), (102, 900, 60, -0.48, 0.12, 0.1, "en")]
+    rows += [(1000 + n, 100, 60, -0.9 + (n % 60) / 60, n % 60 / 100, 0.0, "en") for n in range(spam)]
+    got = {r.doc_id for r in extreme_pages(spark.createDataFrame(rows, "doc_id long, tokens long, types long, slope double, residual double, spoken double, language string")).collect()}
+    assert {100, 102, *range(1000, 1000 + spam)} <= got and 101 not in got and len(got & set(range(40))) < 12
