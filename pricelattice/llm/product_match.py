@@ -1,10 +1,11 @@
-"""Listings of the same product: multi-pass sorted neighbourhood, soft token alignment, correlation clustering.
+"""Listings of the same product: multi-pass sorted neighbourhood and equi-joins, soft token alignment, correlation clustering.
 
 Each listing is read into a signature: quantity of a piece, unit, pieces, brand, type and the words of the
 variant, each word brought to the corpus' own vocabulary where it is a slip or an unambiguous abbreviation of a clearly
 commoner word.
 Listings of equal signature are one node. Nodes are sorted by several token orders of the signature, neighbours
-in a sliding window are compared by soft token alignment, and the graph of similar nodes is clustered by the
+in a sliding window are compared by soft token alignment; equi-joins on the signature with a word left out find the
+similar nodes that many others separate in every order. The graph of similar nodes is then clustered by the
 pivot rule of correlation clustering: in rounds, the nodes that outrank all their open neighbours become
 pivots, and their neighbours join them.
 
@@ -280,6 +281,41 @@ def neighbourhood(nodes: DataFrame, key, window: int) -> DataFrame:
     return seen.unionByName(border).filter("a is not null").select("a", "b", "score")
 
 
+def shared_words(nodes: DataFrame) -> DataFrame:
+    """(a, b, score) of similar nodes by equi-joins, however many other nodes stand between them.
+
+    Words are compared by their first three letters, which a word shares with its abbreviations and with slips
+    further back. Nodes meet if these agree in all words, but for one word more of one node, and but for one word of
+    each that share a spelling with a letter of the first four left out (a slip in front). Only pairs with two slips
+    in front are left to the sorted passes.
+    """
+    words = F.split("variant", " ")
+    base = F.xxhash64("qty", "unit", "pieces", "brand")
+    short = lambda ws: F.array_join(F.array_sort(F.transform(ws, lambda w: F.substring(w, 1, 3))), " ")
+    rest = lambda i: short(F.filter(words, lambda _, j: j != i))
+    left_out = lambda w: F.concat(F.array(w), F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.concat(F.substring(w, 1, k - 1), F.substring(w, k + 1, 1_000_000))))
+    slip = lambda w, left: F.when((F.length(w) >= 5) & ~F.endswith(w, F.lit("*")), F.transform(left_out(w), lambda v: F.concat_ws("|", F.lit("~"), v, left))).otherwise(F.array().cast("array<string>"))
+    slips = F.flatten(F.transform(words, lambda w, i: slip(w, rest(i))))
+    # The same with a further word left out.
+    slips_less = F.flatten(F.flatten(F.transform(words, lambda w, i: F.transform(words, lambda _, n: F.when(i != n, slip(w, short(F.filter(words, lambda _, j: (j != i) & (j != n))))).otherwise(F.array().cast("array<string>"))))))
+    keyed = nodes.withColumn("base", base)
+    columns = ["node", *SIGNATURE]
+    keys = lambda each: keyed.select(*columns, F.explode(F.array_distinct(each)).alias("key"), "base").withColumn("key", F.xxhash64("base", "key")).drop("base")
+    whole = keys(F.concat(F.array(F.concat_ws("|", F.lit("="), short(words))), slips))
+    less = keys(F.concat(F.transform(words, lambda _, i: F.concat_ws("|", F.lit("="), rest(i))), slips_less))
+    left, right = [whole.select("key", *[F.col(c).alias(f"{c}_a") for c in columns])], [x.select("key", *[F.col(c).alias(f"{c}_b") for c in columns]) for x in (whole, less)]
+    agree = " and ".join(f"{c}_a = {c}_b" for c in SIGNATURE[:4]) + " and (kind_a = kind_b or kind_a = '' or kind_b = '')"
+    met = left[0].join(right[0], "key").filter("node_a < node_b").filter(agree).unionByName(left[0].join(right[1], "key").filter("node_a != node_b").filter(agree))
+    pairs = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), "variant_a", "variant_b", (F.col("kind_a") == F.col("kind_b")).alias("same_kind")).dropDuplicates(["a", "b"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [alignment(x.split(), y.split()) * (1.0 if same else 0.9) for x, y, same in zip(*(batch.column(c).to_pylist() for c in ("variant_a", "variant_b", "same_kind")))]
+            yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(scores, pa.float64())], names=["a", "b", "score"])
+
+    return pairs.mapInArrow(score, "a long, b long, score double").filter("score > 0")
+
+
 def correlation_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, cluster) by the pivot rule; a node without edges is its own cluster.
 
@@ -358,10 +394,9 @@ def matched_listings(products: DataFrame, refs: DataFrame, window: int = WINDOW)
         F.concat_ws("|", *base, F.array_join(F.array_sort(short), " "), "kind"),
         F.concat_ws("|", *base, F.array_join(F.reverse(F.array_sort(short)), " "), "kind"),
     ]
-    edges = None
+    edges = shared_words(nodes)
     for key in orders:
-        found = neighbourhood(nodes.select("node", *SIGNATURE, "members"), key, window)
-        edges = found if edges is None else edges.unionByName(found)
+        edges = edges.unionByName(neighbourhood(nodes.select("node", *SIGNATURE, "members"), key, window))
     clusters = correlation_clusters(nodes, edges)
     return full.join(nodes.select("node", *SIGNATURE), SIGNATURE).join(clusters, "node").select("product_id", "cluster")
 

@@ -3,7 +3,7 @@ import itertools
 
 import pytest
 
-from pricelattice.llm.product_match import alignment, correlation_clusters, matched_pairs, neighbourhood, variant_words
+from pricelattice.llm.product_match import alignment, correlation_clusters, matched_pairs, neighbourhood, shared_words, variant_words
 from tests.frames import frame
 
 COLS = "supplier string, sku string, product_id string, updated_at timestamp_ntz, name string, brand string, product_type string, variant string, size string, size_value decimal(12,4), size_unit string, node int"
@@ -67,6 +67,21 @@ def test_neighbourhood_against_brute_force(spark, window):
     assert want <= got
 
 
+def test_large_block_against_all_pairs(spark):
+    """In a hot brand and quantity, similar nodes meet however many others lie between them."""
+    tastes = ["canela", "limon", "romero", "tilo", "menta", "anana", "cedro", "lavanda", "vacuno", "salmon", "bufalo", "higado"]
+    texts = [f"{a} {b} suave" for a, b in itertools.combinations(sorted(tastes), 2)] + [f"{t} suave" for t in tastes] + tastes
+    texts += ["acnela suave", "canela limn suave", "int* canela", "canela intenso", "anana canela suav* zinc", "blimon suave", "canela light", "tilo lavadna suave", "avlanda suave tilo"]
+    rows = [(n, 500, "g", 1, "1", str(n % 3 or ""), " ".join(sorted(v.split())), 1) for n, v in enumerate(texts * 3)]
+    nodes = spark.createDataFrame(rows, "node long, qty long, unit string, pieces int, brand string, kind string, variant string, members long")
+    nodes = nodes.unionByName(nodes.selectExpr("node + 10000 as node", "qty", "unit", "pieces", "'2' as brand", "kind", "variant", "members"))
+    want = {(a[0], b[0]): alignment(a[6].split(), b[6].split()) * (1.0 if a[5] == b[5] else 0.9) for a, b in itertools.combinations(rows, 2) if a[5] == b[5] or not a[5] or not b[5]}
+    want = {k: v for k, v in want.items() if v > 0}
+    got = [((r.a, r.b), r.score) for r in shared_words(nodes).collect()]
+    assert len(got) == len(dict(got)) and {k: v for k, v in got if k[0] < 10000} == pytest.approx(want)
+    assert len(got) == 2 * len(want)
+
+
 def test_clusters(spark):
     nodes = spark.createDataFrame([(n, m) for n, m in enumerate([5, 1, 1, 9, 1, 1])], "node long, members long")
     edges = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (2, 3, 0.5), (3, 4, 1.0)], "a long, b long, score double")
