@@ -31,7 +31,7 @@ SNAP = 0.02  # relative distance within which an estimate is taken for a known c
 #: What one typed value may be off by within a source of known scale: kilo for gram and the reverse.
 SLIPS = (1000.0, 0.001)
 LEAST_LINKS = 20  # entities that a pair of sources must share for its scale to count
-MAX_SOURCES = 100_000
+MAX_EDGES = 100_000  # pairs of sources collected
 RAW = ["name", "size", "size_value", "size_unit", "brand", "variant"]
 PARSED = (
     T.StructType()
@@ -119,8 +119,13 @@ def source_edges(known: DataFrame) -> DataFrame:
 
 
 def source_scales(known: DataFrame, least: int = LEAST_LINKS) -> dict[str, float]:
-    """Snapped scale of every connected source; a pair whose offset isn't zero or whose ratio fits nothing is no edge."""
-    rows = source_edges(known).filter(f"links >= {least} and abs(offset) < 0.5").limit(MAX_SOURCES).collect()
+    """Snapped scale of every connected source; a pair whose offset isn't zero or whose ratio fits nothing is no edge.
+
+    More than MAX_EDGES pairs raise, for without some of them sources would silently lose their scale.
+    """
+    rows = source_edges(known).filter(f"links >= {least} and abs(offset) < 0.5").limit(MAX_EDGES + 1).collect()
+    if len(rows) > MAX_EDGES:
+        raise ValueError(f"more than {MAX_EDGES} pairs of sources to propagate scales over")
     return propagate([(r.source, r.other, s, r.links) for r in rows if (s := snap(r.ratio))])
 
 
@@ -152,7 +157,7 @@ def listing_quantities(products: DataFrame) -> DataFrame:
     bare = (
         parsed.filter("text_qty is null and typed_qty is not null")
         .withColumn("source", F.concat_ws("|", F.lit("typed"), "supplier", "size_unit"))
-        .join(F.broadcast(scale) if len(scales) <= MAX_SOURCES else scale, "source", "left")
+        .join(F.broadcast(scale) if len(scales) <= MAX_EDGES else scale, "source", "left")
         .withColumn("own", F.col("typed_qty") / F.coalesce("scale", F.lit(1.0)))
     )
     # What the entity is known to weigh elsewhere: few distinct rows an entity.

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 
 from pricelattice.functions.quantity import in_base, parse
+from pricelattice.operators import units
 from pricelattice.operators.units import listing_quantities, propagate, snap
 from tests.frames import frame
 
@@ -46,3 +47,13 @@ def test_listings(spark):
     got = {(r.supplier, r.sku): (r.qty, r.unit, r.pieces) for r in listing_quantities(frame(spark, rows, cols)).collect()}
     assert got == {("a", "1"): (500, "g", 1), ("a", "2"): (3, "uni", 1), ("a", "3"): (2000, "g", 1), ("a", "5"): (500, "g", 1)}
     assert listing_quantities(frame(spark, [], cols)).count() == 0
+
+
+def test_too_many_pairs_of_sources_raise(spark, monkeypatch):
+    known = spark.createDataFrame([(q, "g", s, float(q), "g", 1, None, None, None) for s in ("a", "b", "c") for q in range(1, 60)], "entity long, base string, supplier string, text_qty double, text_unit string, pieces int, typed_qty double, typed_unit string, size_unit string")
+    assert set(units.source_scales(known).values()) == {1.0} and len(units.source_scales(known)) == 3
+    monkeypatch.setattr(units, "MAX_EDGES", 2)
+    assert len(units.source_scales(known)) == 3
+    monkeypatch.setattr(units, "MAX_EDGES", 1)
+    with pytest.raises(ValueError, match="pairs of sources"):
+        units.source_scales(known)
