@@ -1,4 +1,4 @@
-"""Commands: create tables, export, run a registered query, merge landed records, list unmapped types."""
+"""Commands: create tables, export, run a registered query, merge landed records, list the queries."""
 
 from __future__ import annotations
 
