@@ -24,7 +24,7 @@ FACTORS: dict[str, tuple[str, float]] = {
     "cm": ("mm", 10), "cms": ("mm", 10), "centimetro": ("mm", 10), "centimetros": ("mm", 10),
     "m": ("mm", 1000), "mt": ("mm", 1000), "mts": ("mm", 1000), "metro": ("mm", 1000), "metros": ("mm", 1000),
     "u": ("uni", 1), "un": ("uni", 1), "uni": ("uni", 1), "unid": ("uni", 1), "unids": ("uni", 1), "unidad": ("uni", 1), "unidades": ("uni", 1),
-    "ud": ("uni", 1), "uds": ("uni", 1), "pieza": ("uni", 1), "piezas": ("uni", 1), "pza": ("uni", 1), "pzas": ("uni", 1),
+    "x": ("uni", 1), "ud": ("uni", 1), "uds": ("uni", 1), "pieza": ("uni", 1), "piezas": ("uni", 1), "pza": ("uni", 1), "pzas": ("uni", 1),
     "doc": ("uni", 12), "docena": ("uni", 12), "docenas": ("uni", 12), "par": ("uni", 2), "pares": ("uni", 2),
 }
 #: Units of which three digits after a dot are thousands ("2.000 cc"), not decimals ("0.800 kg").
@@ -91,40 +91,54 @@ def _unit(text: str) -> str:
     return re.sub(r"[.\s]", "", text)
 
 
-def _value(value: str, unit: str) -> tuple[float, str] | None:
+class Reading(NamedTuple):
+    number: float  # as written
+    notation: str  # the unit as written, without dots and spaces; x for a bare "x 24"
+    pieces: int  # pieces of a weight, volume or length in the pack; 1 for counts
+
+
+def _reading(value: str, unit: str, pieces: str = "1") -> Reading | None:
     unit = _unit(unit)
-    base, factor = FACTORS[unit]
     n = number(value, unit)
-    return None if n is None or n <= 0 else (n * factor, base)
+    return None if n is None or n <= 0 or int(pieces) <= 0 else Reading(n, unit, int(pieces))
 
 
-def spans(text: str) -> tuple[Quantity | None, list[tuple[int, int]], str]:
-    """The quantity a text states, the spans of the cleaned text that state it, and the cleaned text."""
+def readings(text: str) -> tuple[Reading | None, list[tuple[int, int]], str]:
+    """Number, notation and pieces a text states, the spans of the cleaned text that state them, and the cleaned text."""
     text = fold(text)
     for pattern, to in _WORDS:
         text = pattern.sub(to, text)
     text = _NOISE.sub(lambda m: " " * len(m[0]), text)
-    for pattern, order in ((_MULTI, (1, 2, 3)), (_PACKED, (1, 2, 3)), (_BACK, (3, 1, 2))):
-        if m := pattern.search(text):
-            pieces, value, unit = (m[i] for i in order)
-            if (v := _value(value, unit)) and int(pieces) > 0:
-                return Quantity(v[0], v[1], int(pieces)), [m.span()], text
-    if m := _PLAIN.search(text):
-        if v := _value(m[1], m[2]):
-            return Quantity(v[0], v[1], 1), [m.span()], text
-    if m := _COUNTED.search(text):
-        if v := _value(m[1], m[2]):
-            return Quantity(v[0], v[1], 1), [m.span()], text
-    if m := _TIMES.search(text):
-        if int(m[1]) > 0:
-            return Quantity(float(m[1]), "uni", 1), [m.span()], text
+    for pattern, order in ((_MULTI, (2, 3, 1)), (_PACKED, (2, 3, 1)), (_BACK, (1, 2, 3)), (_PLAIN, (1, 2)), (_COUNTED, (1, 2))):
+        if (m := pattern.search(text)) and (r := _reading(*(m[i] for i in order))):
+            return r, [m.span()], text
+    if (m := _TIMES.search(text)) and int(m[1]) > 0:
+        return Reading(float(m[1]), "x", 1), [m.span()], text
     for pattern in (_DOZEN, _BARE):
         if m := pattern.search(text):
-            base, factor = FACTORS[m[1]]
-            return Quantity(factor, base, 1), [m.span()], text
+            return Reading(1.0, m[1], 1), [m.span()], text
     return None, [], text
 
 
+def read(text: str | None) -> Reading | None:
+    """What a name or size states, as written; None for null, empty and texts without a quantity."""
+    return readings(text)[0] if text else None
+
+
+def notation(unit: str | None) -> str:
+    """A unit column's text as a notation; empty for null."""
+    return _unit(fold(unit)) if unit else ""
+
+
+def spans(text: str) -> tuple[Quantity | None, list[tuple[int, int]], str]:
+    """The quantity a text states by the unit table, the spans of the cleaned text that state it, and the cleaned text."""
+    r, at, text = readings(text)
+    if r is None:
+        return None, [], text
+    base, factor = FACTORS[r.notation]
+    return Quantity(r.number * factor, base, r.pieces), at, text
+
+
 def parse(text: str | None) -> Quantity | None:
     """The quantity a name or size states; None for null, empty and texts without one."""
     return spans(text)[0] if text else None

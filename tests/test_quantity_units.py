@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 
-from pricelattice.functions.quantity import in_base, parse
+from pricelattice.functions.quantity import in_base, parse, read
 from pricelattice.operators import units
 from pricelattice.operators.units import listing_quantities, propagate, snap
 from tests.frames import frame
@@ -31,8 +31,14 @@ def test_no_quantity(text):
 def test_typed_and_conversions():
     assert in_base(2.0, "KG") == (2000.0, "g") and in_base(None, "g") is None and in_base(1.0, None) is None and in_base(0.0, "g") is None and in_base(1.0, "zz") is None
     assert snap(1003.0) == 1000.0 and snap(28.3) == pytest.approx(28.349523125) and snap(1.5) is None
-    # b writes kilos for a's grams, c doubles b: scales multiply along the path.
-    assert propagate([("b", "a", 0.001, 50), ("c", "b", 10.0, 20)]) == pytest.approx({"b": 1.0, "a": 1000.0, "c": 10.0})
+    # kg's numbers are a thousandth of g's, sack's a tenth of kg's: scales multiply along the path; an island isn't reached.
+    got = propagate([("kg", "g", 0.001, 50), ("sack", "kg", 0.1, 20), ("x", "y", 1.0, 90)])
+    assert {k: f for k, (f, _) in got.items()} == {"g": "g", "ml": "ml", "mm": "mm", "u": "uni", "kg": "g", "sack": "g"}
+    assert got["kg"][1] == pytest.approx(1000.0) and got["sack"][1] == pytest.approx(10_000.0)
+
+
+def test_read_as_written():
+    assert read("Miel 3x1,5 Kg") == (1.5, "kg", 3) and read("Pilas x48") == (48.0, "x", 1) and read("Huevos docena") == (1.0, "docena", 1) and read("") is None
 
 
 def test_listings(spark):
@@ -49,11 +55,49 @@ def test_listings(spark):
     assert listing_quantities(frame(spark, [], cols)).count() == 0
 
 
-def test_too_many_pairs_of_sources_raise(spark, monkeypatch):
-    known = spark.createDataFrame([(q, "g", s, float(q), "g", 1, None, None, None) for s in ("a", "b", "c") for q in range(1, 60)], "entity long, base string, supplier string, text_qty double, text_unit string, pieces int, typed_qty double, typed_unit string, size_unit string")
-    assert set(units.source_scales(known).values()) == {1.0} and len(units.source_scales(known)) == 3
+def planted(spark):
+    """60 articles: two honest sellers by name, and sellers who type numbers in their own ways."""
+    t, rows = dt.datetime(2025, 1, 1), []
+    cols = "supplier string, sku string, updated_at timestamp_ntz, name string, size string, size_value decimal(12,4), size_unit string, brand string, variant string"
+    for k in range(60):
+        grams, key = 100 + 25 * k, ("B", f"v{k}")
+        rows += [("a", f"{k}", t, f"Miel {grams} g", None, None, None, *key), ("b", f"{k}", t, f"Miel {grams / 1000} kg", None, None, None, *key)]
+        rows.append(("thousandth", f"{k}", t, "Miel", None, grams / 1000, "g", *key))  # types kilos and calls them g
+        rows.append(("tare", f"{k}", t, "Miel", None, grams + 80, "g", *key))  # weighs the jar too
+        rows.append(("bare", f"{k}", t, "Miel", None, grams / 10, None, *key))  # numbers without a unit
+        rows.append(("own_unit", f"{k}", t, "Miel", None, grams / 1000, "kgr", *key))  # a unit the table doesn't know
+        rows.append(("honest", f"{k}", t, "Miel", None, grams / 1000, "kg", *key))
+    rows.append(("bare", "other", t, "Miel", None, 7, None, "B", "unheard of"))
+    return frame(spark, rows, cols)
+
+
+def test_graph_mends_sources(spark):
+    got = {(r.supplier, r.sku): (r.qty, r.unit) for r in listing_quantities(planted(spark)).collect()}
+    want = {(s, f"{k}"): (100 + 25 * k, "g") for s in ("a", "b", "thousandth", "tare", "bare", "own_unit", "honest") for k in range(60)}
+    assert got == want
+
+
+def test_without_the_graph_sources_stay_wrong(spark):
+    off = 10**9
+    got = {(r.supplier, r.sku): (r.qty, r.unit) for r in listing_quantities(planted(spark), least=off, source_least=off).filter("sku = '4'").collect()}
+    assert got["a", "4"] == got["b", "4"] == got["honest", "4"] == (200, "g")
+    assert got["tare", "4"] == (280, "g") and not {("bare", "4"), ("own_unit", "4")} & set(got)
+
+
+def test_notations_are_learned(spark, monkeypatch):
+    # The table is needed for the bases alone where the links are many.
+    monkeypatch.setattr(units, "FACTORS", {})
+    rows = [(e, s, n, q * f) for e in range(30) for q in [100.0 + e] for s, n, f in (("a", "g", 1), ("b", "kg", 0.001), ("c", "oz", 1 / 28.349523125))]
+    rows += [(e, "d", "g", 999.0) for e in range(3)]  # entities that contradict themselves give no link of it
+    readings = spark.createDataFrame(rows, "entity long, supplier string, notation string, x double")
+    got = units.notation_scales(readings)
+    assert got["kg"] == ("g", pytest.approx(1000)) and got["oz"] == ("g", pytest.approx(28.349523125)) and units.notation_scales(readings, 10**9).get("kg") is None
+
+
+def test_too_many_pairs_of_notations_raise(spark, monkeypatch):
+    readings = spark.createDataFrame([(e, s, n, 1.0 + e) for e in range(60) for s, n in (("a", "g"), ("b", "gr"), ("c", "grs"))], "entity long, supplier string, notation string, x double")
     monkeypatch.setattr(units, "MAX_EDGES", 2)
-    assert len(units.source_scales(known)) == 3
+    assert units.notation_scales(readings)["grs"] == ("g", pytest.approx(1.0))
     monkeypatch.setattr(units, "MAX_EDGES", 1)
-    with pytest.raises(ValueError, match="pairs of sources"):
-        units.source_scales(known)
+    with pytest.raises(ValueError, match="pairs of notations"):
+        units.notation_scales(readings)
