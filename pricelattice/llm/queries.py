@@ -31,7 +31,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return stuffed_pages(read_table(spark, folder, "documents", "doc_id", "text"))
+    return stuffed_pages(read_table(spark, folder, "documents", "doc_id", "text", "lang", "source"))
 
 
 QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}

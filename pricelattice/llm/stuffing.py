@@ -1,42 +1,51 @@
 """Keyword-stuffed and link-list pages.
 
 Method: each page's rank-frequency curve is fitted with SQL windows (slope and residual of log frequency over
-log rank), and its share of letters in sentence words is its divergence from prose. Pages that are extreme in one of the
-three against prose of the same language and comparable length are candidates. An exact check then measures, on
-the candidate's whole text, what share of its characters stands in strings of keywords, tags and links.
+log rank). The prose of each language is its reference: the share of the letters that each token takes, over all pages
+of the language. A page's divergence is the Jensen-Shannon divergence of its own token shares from the nearest reference.
+For slope, residual and divergence, robust lines over the log of the length give what is usual in a language at
+that length, and how far it spreads; pages beyond EXTREME spreads are flagged.
+What stands out is then measured on the flagged pages' whole texts: which stretches are strings of keywords, tags
+and links, by words whose weight is learned: a word is one of sentences if prose has it clearly more than strongly
+divergent pages have. No word list is given.
 
-Scale: one shuffle of the texts on doc_id; token counts, windows, fits and the final semi-join reuse that
-partitioning. The norms, over prose only, have one row a language and power of two of the length.
+Scale: texts are shuffled once, on doc_id; token counts, windows, fits and divergences reuse that partitioning. A
+reference has at most 1 / LEAST_SHARE tokens a language (shares add up to 1), norms have one row a language and power
+of two of the length. Only flagged pages reach Python. Copies of a text count once, and each of GROUPS groups of sources has one vote on what is usual.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelattice.session import checkpointed
-
-# Words that carry sentences (articles, pronouns, conjunctions, auxiliaries) but hardly occur in
-# keyword lists and product names.
-SENTENCE_WORDS = {
-    "es": "el los las un una que se si es son está están fue ser pero porque aunque cuando donde lo le les nos ya hasta desde muy más hay he ha había esto eso esta este ese esa mi tu su sus yo él ella alguien quien como cómo qué así también solo sólo tengo tiene puede pude vas voy hace sobre entre sin con no ni primero entonces luego ahora ayer hoy aquí allí nunca siempre tampoco otra otro cada vez",
-    "en": "the a an is are was were be been it its this that these those i you he she we they my your his her our their but because although when where if then so as at by from with into of to does do did has have had can could should would will not don't isn't there than which who what how until first now yesterday today here never always another each once",
-    "pt": "o os as um uma que se é são está estão foi ser mas porque embora quando onde lhe nos já até desde muito mais há isso isto esta este esse essa meu minha seu sua eu ele ela você alguém quem como qual assim também só tem tenho pode vai faz sobre entre sem com não nem pelo pela ao primeiro então agora ontem hoje aqui ali nunca sempre outro outra cada vez dá",
-}
-WORDS = {k: frozenset(v.split()) for k, v in SENTENCE_WORDS.items()}
-ANY_WORD = frozenset().union(*WORDS.values())
-# Words that join both sentences and product names.
-JOINING = frozenset("de la las y e en a al del para por con da do das dos na no nas nos em of for on and or me mi sus te antes después depois before after".split())
+from pricelattice.session import checkpointed, spread
+
 TOKEN = r"https?://[^\s<>\"')\]]+|www\.[^\s<>\"')\]]+|#?[\p{L}\p{N}][\p{L}\p{N}\p{M}'_-]*"
+#: Code blocks, and lines of tables, shells and logs: no part of prose or of lists.
+CODE = r"(?s)```.*?```|<(pre|code)\b.*?</\1>|(?m:^[ \t]*(?:\||[$>][ \t]+\w|\d{4}-\d\d-\d\d[t ]\d\d:\d\d)[^\n]*$)"
+LEAST_SHARE = 5e-4  # of the letters of a language's pages, for a token of its reference
+LEAST_PAGES, LEAST_PART = 20, 0.001  # pages that a language needs for a reference of its own, and their part of all
+HEAVY = 0.001  # part of all pages from which a copied text's weight is reduced
+GROUPS = 8  # of sources; each has one vote on what is usual
+#: Spreads beyond which a page is extreme. A spread is the usual distance of a tenth from the median.
+EXTREME = {"divergence": 3.0, "slope": 10.0, "residual": 12.0}
+LEAST_SPREAD = {"divergence": 0.03, "slope": 0.05, "residual": 0.02}  # where few pages seem to agree
+CONTRAST = 5.0  # times as much of prose as of the flagged pages makes a word one of sentences
+PRIOR = 10  # pages without the word that are added to the flagged ones: few flagged pages say little
+SHORT = 4  # letters of words that can join both sentences and names
 LEAST_ITEMS = 8
 BREAK = 5  # a sentence word outweighs so many items
 SHARE = 0.5  # of the characters
-LEAST_SPOKEN = 0.08  # of the letters of prose stand in sentence words
+MEASURES = tuple(EXTREME)
 
 _CODE_BLOCK = re.compile(r"```.*?(?:```|\Z)|<(pre|code)\b.*?(?:</\1>|\Z)", re.S | re.I)
 _CODE_LINE = re.compile(
@@ -53,10 +62,17 @@ _OTHER_SCRIPT = re.compile(r"[^\W\d_a-zA-ZÀ-ɏ]")
 PHRASE = 6  # content words from which an unbroken phrase is a sentence, unless it keeps repeating itself
 
 
-def _phrase_score(words: list[str]) -> int:
+class Words(NamedTuple):
+    """What the corpus says of words: those of sentences, and short ones that join sentences and names alike."""
+
+    spoken: frozenset[str]
+    joining: frozenset[str]
+
+
+def _phrase_score(words: list[str], known: Words) -> int:
     """Keywords in a phrase, negative for a piece of a sentence."""
-    content = [w for w in words if w not in JOINING]
-    spoken = sum(w in ANY_WORD for w in content)
+    content = [w for w in words if w not in known.joining]
+    spoken = sum(w in known.spoken for w in content)
     if any(_OTHER_SCRIPT.search(w) for w in words):
         return -len(words)
     if len(content) >= PHRASE and not (len(set(content)) < 0.6 * len(content) and spoken < 0.1 * len(content)):
@@ -64,7 +80,7 @@ def _phrase_score(words: list[str]) -> int:
     return len(content) - (BREAK + 1) * spoken
 
 
-def _parts(text: str) -> list[tuple[int, int, int]]:
+def _parts(text: str, known: Words) -> list[tuple[int, int, int]]:
     """(start, end, score) of the links, tags and phrases of a text, and of the barriers between them."""
     out: list[tuple[int, int, int]] = []
     words: list[str] = []
@@ -72,7 +88,7 @@ def _parts(text: str) -> list[tuple[int, int, int]]:
 
     def close() -> None:
         if words:
-            out.append((begin, end, _phrase_score(words)))
+            out.append((begin, end, _phrase_score(words, known)))
             words.clear()
 
     for m in _PART.finditer(text):
@@ -94,7 +110,7 @@ def _parts(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def stuffed_share(text: str) -> tuple[float, float]:
+def stuffed_share(text: str, known: Words) -> tuple[float, float]:
     """(share of the text's characters in strings of keywords, tags and links; greatest score of a string).
 
     Code blocks, logs, tables and blobs are barriers. A tag, a link and each word of a short phrase score one; a
@@ -110,7 +126,7 @@ def stuffed_share(text: str) -> tuple[float, float]:
     rest = "\n".join("\0" * len(line) if line.strip("\0 ") and not _LINK.search(line) and _CODE_LINE.search(line) else line for line in rest.split("\n"))
     stretches: list[list[int]] = []  # [first part, last part, sum before, sum with]
     total = 0
-    parts = _parts(rest)
+    parts = _parts(rest, known)
     for k, (_, _, score) in enumerate(parts):
         before, total = total, total + score
         if score <= 0:
@@ -128,59 +144,187 @@ def stuffed_share(text: str) -> tuple[float, float]:
     return chars / len(text), max((s[3] - s[2] for s in strings), default=0)
 
 
-def stuffed_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The doc_id of the pages that are stuffed; as a map over batches the optimizer can't move it before the join."""
-    for batch in batches:
-        ids = [i for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) if stuffed_share(text)[0] > SHARE]
-        yield pa.record_batch({"doc_id": pa.array(ids, pa.int64())})
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.regexp_replace(F.lower(text), CODE, " "), F.lit(TOKEN), F.lit(0))
+
+
+def _letters(tokens: Column) -> Column:
+    return F.aggregate(tokens, F.lit(0), lambda n, t: n + F.length(t))
+
+
+def grouped(pages: DataFrame) -> DataFrame:
+    """``pages`` (doc_id, text, lang, source) with a group of sources, one of GROUPS, and a weight: all copies of one text count as one page.
+
+    Weights are lowered for texts that HEAVY of all pages or more share, of which at most 1 / HEAVY exist.
+    """
+    keyed = pages.withColumn("copy", F.xxhash64("text", F.length("text")))
+    counts = keyed.groupBy("copy").count().filter(F.col("count") >= max(2.0, HEAVY * pages.count()))
+    heavy = [F.lit(x) for r in counts.collect() for x in (r["copy"], 1.0 / r["count"])]
+    weight = F.coalesce(F.create_map(*heavy)[F.col("copy")], F.lit(1.0)) if heavy else F.lit(1.0)
+    return keyed.withColumn("weight", weight).withColumn("part", source_group()).drop("copy")
+
+
+def source_group() -> Column:
+    """All pages of a source are in one group; those without a source are spread."""
+    return F.pmod(F.coalesce(F.xxhash64("source"), F.xxhash64("doc_id")), F.lit(GROUPS))
 
 
-def _among(token: Column, words: frozenset[str]) -> Column:
-    return token.isin(*sorted(words))
+def references(pages: DataFrame) -> tuple[list[str], dict[str, dict[str, float]]]:
+    """The languages, and each language's share of the letters a token; of ``grouped`` pages.
+
+    A share is the median over the groups of sources, so that no single source decides, however many pages it has. A
+    language is the first two letters of ``lang``; small ones have no reference of their own, and if all are small
+    there is one reference of all pages, named by the empty string.
+    """
+    language = F.coalesce(F.lower(F.substring(F.trim("lang"), 1, 2)), F.lit("?"))
+    parts = pages.select(language.alias("language"), "part", "weight", _tokens(F.col("text")).alias("t")).withColumn("letters", _letters(F.col("t"))).filter("letters > 0")
+    sizes: dict[str, dict[int, float]] = {}
+    pages_of: dict[str, int] = {}
+    for r in parts.groupBy("language", "part").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect():
+        sizes.setdefault(r.language, {})[r.part] = r.w
+        pages_of[r.language] = pages_of.get(r.language, 0) + r.n
+    chosen = sorted(k for k, n in pages_of.items() if k != "?" and n >= max(LEAST_PAGES, LEAST_PART * sum(pages_of.values())))
+    if chosen:
+        parts = parts.filter(F.col("language").isin(chosen))
+    else:
+        chosen, parts = [""], parts.withColumn("language", F.lit(""))
+        sizes = {"": {p: sum(g.get(p, 0.0) for g in sizes.values()) for p in range(GROUPS) if any(p in g for g in sizes.values())}}
+    total = F.create_map(*[F.lit(x) for k in chosen for p, w in sizes.get(k, {}).items() for x in (f"{k}|{p}", w)]) if any(sizes.get(k) for k in chosen) else F.create_map(F.lit(""), F.lit(1.0))
+    shares = parts.select("language", "part", (F.col("weight") / F.col("letters")).alias("w"), F.explode("t").alias("token")).groupBy("language", "part", "token").agg((F.sum("w") * F.length("token")).alias("share"))
+    shares = shares.withColumn("share", F.col("share") / F.element_at(total, F.concat_ws("|", "language", "part")))
+    # A group has at most 1 / LEAST_SHARE tokens beyond the least share, and half of the groups must have a token.
+    mine = F.sort_array(F.collect_list("share"), asc=False)
+    half = F.element_at(F.create_map(*[F.lit(x) for k in chosen for x in (k, len(sizes.get(k, {})) // 2 + 1)]), F.col("language"))
+    found = shares.filter(F.col("share") >= LEAST_SHARE).groupBy("language", "token").agg(mine.alias("each")).filter(F.size("each") >= half).select("language", "token", F.element_at("each", half).alias("share"))
+    out: dict[str, dict[str, float]] = {k: {} for k in chosen}
+    for r in found.collect():
+        out[r.language][r.token] = r.share
+    # Medians may add up to a little more than 1.
+    return chosen, {k: {t: q / max(1.0, sum(shares.values())) for t, q in shares.items()} for k, shares in out.items()}
 
 
-def page_curves(pages: DataFrame) -> DataFrame:
-    """(doc_id, tokens, types, slope, residual, spoken, language) of each page with a token.
+def page_curves(pages: DataFrame, languages: list[str], reference: dict[str, dict[str, float]]) -> DataFrame:
+    """(doc_id, part, letters, tokens, types, slope, residual, divergence, language) of each page with a token.
 
-    slope and residual: least squares of ln frequency over ln rank (0 for a single type); spoken: share of
-    the letters in sentence words of the language that has most of them (ties and none: the first in the alphabet).
+    slope and residual: least squares of ln frequency over ln rank (0 for a single type); divergence: Jensen-Shannon, in
+    bits, of the page's token shares (by letters) from the nearest language's reference (ties: the first language).
     """
-    token = F.explode(F.regexp_extract_all(F.regexp_replace(F.lower("text"), r"</?[a-z][^>]*>", " "), F.lit(TOKEN), F.lit(0)))
-    counts = pages.select("doc_id", token.alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("c"))
+    spark = pages.sparkSession
+    tokens = sorted({t for q in reference.values() for t in q})
+    names = [f"q{k}" for k in range(len(languages))]
+    table = spark.createDataFrame([(t, *[float(reference[k].get(t, 0.0)) for k in languages]) for t in tokens] or [("", *[0.0] * len(names))], ", ".join(["token string", *[f"{n} double" for n in names]]))
+    parts = pages.select("doc_id", "part", _tokens(F.col("text")).alias("t")).withColumn("letters", _letters(F.col("t"))).filter("letters > 0")
+    counts = parts.select("doc_id", "part", "letters", F.explode("t").alias("token")).groupBy("doc_id", "part", "letters", "token").agg(F.count("*").alias("c"))
     ranked = counts.withColumn("y", F.ln("c")).withColumn("x", F.ln(F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("c"), "token"))))
-    mass = F.col("c") * F.length("token")
-    said = [F.sum(F.when(_among(F.col("token"), WORDS[k]), mass).otherwise(0)).alias(k) for k in sorted(WORDS)]
-    page = ranked.groupBy("doc_id").agg(
-        F.sum("c").alias("tokens"), F.sum(mass).alias("mass"), F.count("*").alias("types"), F.coalesce(F.regr_slope("y", "x"), F.lit(0.0)).alias("slope"), F.coalesce(F.regr_syy("y", "x") - F.regr_slope("y", "x") * F.regr_sxy("y", "x"), F.lit(0.0)).alias("sse"), *said
+    met = ranked.join(F.broadcast(table), "token", "left").withColumn("p", F.col("c") * F.length("token") / F.col("letters"))
+
+    def nearness(name: str) -> Column:
+        """The token's part of 2 x (1 - divergence), negative."""
+        p, q = F.col("p"), F.col(name)
+        return F.sum(F.when(q > 0, p * F.log2(2 * p / (p + q)) - p + q * F.log2(2 * q / (p + q)) - q).otherwise(0.0)).alias(name)
+
+    page = met.groupBy("doc_id").agg(
+        F.max("part").alias("part"), F.max("letters").alias("letters"), F.sum("c").alias("tokens"), F.count("*").alias("types"), F.coalesce(F.regr_slope("y", "x"), F.lit(0.0)).alias("slope"), F.coalesce(F.regr_syy("y", "x") - F.regr_slope("y", "x") * F.regr_sxy("y", "x"), F.lit(0.0)).alias("sse"), *map(nearness, names)
     )
-    best = F.greatest(*sorted(WORDS))
-    language = F.coalesce(*[F.when(F.col(k) == best, F.lit(k)) for k in sorted(WORDS)])
-    return page.select("doc_id", "tokens", "types", "slope", F.sqrt(F.greatest(F.col("sse"), F.lit(0.0)) / F.col("types")).alias("residual"), (best / F.col("mass")).alias("spoken"), language.alias("language"))
+    best = F.array_min(F.array(*[F.struct(F.col(n).alias("d"), F.lit(k).alias("language")) for n, k in zip(names, languages)]))
+    return page.withColumn("best", best).select("doc_id", "part", "letters", "tokens", "types", "slope", F.sqrt(F.greatest(F.col("sse"), F.lit(0.0)) / F.col("types")).alias("residual"), (1 + F.col("best.d") / 2).alias("divergence"), "best.language")
 
 
-def extreme_pages(curves: DataFrame) -> DataFrame:
-    """doc_id of pages extreme in slope, residual or divergence among pages of their language and length."""
-    sized = curves.withColumn("bucket", F.floor(F.log2("tokens")))
+def _middle(values: np.ndarray, weights: np.ndarray) -> float:
+    """Weighted median."""
+    order = np.argsort(values)
+    sums = np.cumsum(weights[order])
+    return float(values[order][np.searchsorted(sums, sums[-1] / 2)])
+
+
+def norm_lines(rows: list) -> dict[str, dict[str, tuple[float, float, float]]]:
+    """For each language and measure: intercept and slope over log2 letters of the usual value, and its spread.
+
+    ``rows``: language, part, bucket, n and, for each measure m, m_mid and m_low (quantiles 0.5 and 0.1). All three are weighted medians:
+    slopes between the buckets of a group, and what cells add to the line; each group of sources has the same
+    weight. Neither a source nor lengths that only extreme pages have bend the line.
+    """
+    out: dict[str, dict[str, tuple[float, float, float]]] = {}
+    for language, cells in itertools.groupby(sorted(rows, key=lambda r: (r["language"], r["part"], r["bucket"])), key=lambda r: r["language"]):
+        cells = list(cells)
+        part, at, n = (np.array([r[c] for r in cells], float) for c in ("part", "bucket", "n"))
+        weight = n / np.array([n[part == p].sum() for p in part])
+        pairs = [(i, j) for i in range(len(at)) for j in range(i + 1, len(at)) if part[i] == part[j]]
+        out[language] = {}
+        for m in MEASURES:
+            mid, low = np.array([r[f"{m}_mid"] for r in cells]), np.array([r[f"{m}_low"] for r in cells])
+            slope = _middle(np.array([(mid[j] - mid[i]) / (at[j] - at[i]) for i, j in pairs]), np.array([min(weight[i], weight[j]) * (at[j] - at[i]) for i, j in pairs])) if pairs else 0.0
+            several = n > 1
+            far = _middle((mid - low)[several], (weight * (n - 1) / n)[several]) if several.any() else 0.0
+            out[language][m] = (_middle(mid - slope * at, weight), slope, max(far, LEAST_SPREAD[m]))
+    return out
+
+
+def distances(curves: DataFrame) -> DataFrame:
+    """``curves`` with far_divergence, far_slope and far_residual: spreads from what is usual in the language at the length."""
+    sized = curves.withColumn("bucket", F.floor(F.log2("letters")))
     at = lambda c, q: F.expr(f"percentile_approx({c}, {q}, 1000)")
-    # Only prose makes the norms, so that no share of other pages moves them.
-    prose = sized.filter(F.col("spoken") >= LEAST_SPOKEN)
-    norms = prose.groupBy("language", "bucket").agg(at("spoken", 0.5).alias("spoken_mid"), *[at(c, q).alias(f"{c}_{n}") for c in ("slope", "residual") for q, n in ((0.05, "low"), (0.95, "high"))])
-    # Where little prose has a page's length, the language's own median holds as well.
-    whole = prose.groupBy("language").agg(at("spoken", 0.5).alias("spoken_all"))
-    met = sized.join(F.broadcast(norms), ["language", "bucket"], "left").join(F.broadcast(whole), "language", "left")
-    usual = F.greatest("spoken_mid", "spoken_all", F.lit(LEAST_SPOKEN))
-    outside = [(F.col(c) < F.col(f"{c}_low")) | (F.col(c) > F.col(f"{c}_high")) for c in ("slope", "residual")]
-    # Without prose to compare with, a page is a candidate.
-    return met.filter((F.col("spoken") < 0.9 * usual) | F.coalesce(outside[0], F.lit(True)) | F.coalesce(outside[1], F.lit(True))).select("doc_id")
+    # Copies have equal curves; they count once.
+    single = sized.dropDuplicates(["language", "part", "letters", "types", *MEASURES])
+    lines = norm_lines(single.groupBy("language", "part", "bucket").agg(F.count("*").alias("n"), *[x for m in MEASURES for x in (at(m, 0.5).alias(f"{m}_mid"), at(m, 0.1).alias(f"{m}_low"))]).collect())
+
+    def far(m: str) -> Column:
+        of = [F.when(F.col("language") == k, (F.col(m) - (F.lit(v[m][0]) + F.lit(v[m][1]) * F.col("bucket"))) / F.lit(v[m][2])) for k, v in sorted(lines.items())]
+        return F.coalesce(*of, F.lit(0.0))
+
+    return sized.select("doc_id", "language", "tokens", *[far(m).alias(f"far_{m}") for m in MEASURES])
+
+
+def flagged(far: DataFrame) -> DataFrame:
+    """The rows of ``distances`` that are extreme: more divergent, or steeper, or off the line; pages of fewer than LEAST_ITEMS tokens can't be."""
+    f = lambda m: F.col(f"far_{m}")
+    return far.filter(F.col("tokens") >= LEAST_ITEMS).filter((f("divergence") > EXTREME["divergence"]) | (F.abs(f("slope")) > EXTREME["slope"]) | (F.abs(f("residual")) > EXTREME["residual"]))
+
+
+def learned_words(extreme: DataFrame, languages: list[str], reference: dict[str, dict[str, float]]) -> Words:
+    """The words of each reference that prose has CONTRAST times as much as the ``extreme`` pages (text, language) of its language."""
+    parts = extreme.select("language", _tokens(F.col("text")).alias("t")).withColumn("letters", _letters(F.col("t"))).filter("letters > 0")
+    sizes = {r.language: r.n for r in parts.groupBy("language").agg(F.count("*").alias("n")).collect()}
+    spark = extreme.sparkSession
+    known = spark.createDataFrame([(t,) for t in sorted({t for k in languages for t in reference[k]})] or [("",)], "token string")
+    shares = parts.select("language", (1 / F.col("letters")).alias("w"), F.explode("t").alias("token")).join(F.broadcast(known), "token", "left_semi").groupBy("language", "token").agg((F.sum("w") * F.length("token")).alias("share"))
+    there = {(r.language, r.token): r.share for r in shares.collect()}  # no more than the references have
+    every = sum(sizes.values())
+    anywhere: dict[str, float] = {}
+    for (_, token), share in there.items():
+        anywhere[token] = anywhere.get(token, 0.0) + share
+    spoken, joining = set(), set()
+    for k in languages:
+        for token, q in reference[k].items():
+            # Names of goods cross languages: the flagged pages of all of them say as much as the language's own.
+            p = max(there.get((k, token), 0.0) / (sizes.get(k, 0) + PRIOR), anywhere.get(token, 0.0) / (every + PRIOR))
+            if q >= CONTRAST * p:
+                spoken.add(token)
+            elif len(token) <= SHORT and q * CONTRAST >= p:
+                joining.add(token)
+    return Words(frozenset(spoken), frozenset(joining - spoken))
 
 
 def stuffed_pages(documents: DataFrame) -> DataFrame:
     """``(doc_id)`` of pages more than half of whose characters are strings of keywords, tags or links.
 
-    Null, empty and blank texts are none; pages without doc_id are ignored; copies are judged alike; extra
-    columns are ignored; an empty table gives no rows.
+    ``documents`` needs doc_id and text; lang and source are used where they exist. Null, empty and blank texts are
+    none; pages without doc_id are ignored; copies are judged alike; further columns are ignored; an empty table
+    gives no rows.
     """
-    pages = documents.filter("doc_id is not null and text is not null").select("doc_id", "text").repartition("doc_id")
-    # One narrow row a page; the norms and the judgement both read it.
-    candidates = extreme_pages(checkpointed(page_curves(pages)))
-    return pages.join(candidates, "doc_id", "left_semi").mapInArrow(stuffed_only, "doc_id long").distinct()
+    there = [c if c in documents.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "source")]
+    pages = documents.filter("doc_id is not null and text is not null").select("doc_id", "text", *there)
+    languages, reference = references(spread(grouped(pages)))
+    texts = pages.select("doc_id", "text", source_group().alias("part")).repartition("doc_id")
+    # One narrow row a page; the norms and the flags both read it.
+    far = checkpointed(page_curves(texts, languages, reference))
+    extreme = flagged(distances(far))
+    candidates = checkpointed(texts.join(extreme, "doc_id").select("doc_id", "text", "language"))
+    words = documents.sparkSession.sparkContext.broadcast(learned_words(candidates, languages, reference))
+
+    def stuffed_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [i for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) if stuffed_share(text, words.value)[0] > SHARE]
+            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64())})
+
+    return candidates.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(stuffed_only, "doc_id long").distinct()
