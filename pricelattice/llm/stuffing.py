@@ -39,9 +39,10 @@ GROUPS = 8  # of sources; each has one vote on what is usual
 #: Spreads beyond which a page is extreme. A spread is the usual distance of a tenth from the median.
 EXTREME = {"divergence": 3.0, "slope": 10.0, "residual": 12.0}
 LEAST_SPREAD = {"divergence": 0.03, "slope": 0.05, "residual": 0.02}  # where few pages seem to agree
-CONTRAST = 5.0  # times as much of prose as of the flagged pages makes a word one of sentences
-PRIOR = 10  # pages without the word that are added to the flagged ones: few flagged pages say little
-SHORT = 4  # letters of words that can join both sentences and names
+STRONG = 5.0  # spreads of divergence of the pages that prose is contrasted with
+CONTRAST = 8.0  # times as much of prose as of those pages makes a word one of sentences
+PRIOR = 10  # pages without the word that are added to those: few pages say little
+SHORT, JOINING = 4, 0.002  # most letters, and least share, of the words that can join both sentences and names
 LEAST_ITEMS = 8
 BREAK = 5  # a sentence word outweighs so many items
 SHARE = 0.5  # of the characters
@@ -281,11 +282,11 @@ def flagged(far: DataFrame) -> DataFrame:
     return far.filter(F.col("tokens") >= LEAST_ITEMS).filter((f("divergence") > EXTREME["divergence"]) | (F.abs(f("slope")) > EXTREME["slope"]) | (F.abs(f("residual")) > EXTREME["residual"]))
 
 
-def learned_words(extreme: DataFrame, languages: list[str], reference: dict[str, dict[str, float]]) -> Words:
-    """The words of each reference that prose has CONTRAST times as much as the ``extreme`` pages (text, language) of its language."""
-    parts = extreme.select("language", _tokens(F.col("text")).alias("t")).withColumn("letters", _letters(F.col("t"))).filter("letters > 0")
+def learned_words(strong: DataFrame, languages: list[str], reference: dict[str, dict[str, float]]) -> Words:
+    """The words of each reference that prose has CONTRAST times as much as the ``strong`` pages (text, language), of its language or of all."""
+    parts = strong.select("language", _tokens(F.col("text")).alias("t")).withColumn("letters", _letters(F.col("t"))).filter("letters > 0")
     sizes = {r.language: r.n for r in parts.groupBy("language").agg(F.count("*").alias("n")).collect()}
-    spark = extreme.sparkSession
+    spark = strong.sparkSession
     known = spark.createDataFrame([(t,) for t in sorted({t for k in languages for t in reference[k]})] or [("",)], "token string")
     shares = parts.select("language", (1 / F.col("letters")).alias("w"), F.explode("t").alias("token")).join(F.broadcast(known), "token", "left_semi").groupBy("language", "token").agg((F.sum("w") * F.length("token")).alias("share"))
     there = {(r.language, r.token): r.share for r in shares.collect()}  # no more than the references have
@@ -296,11 +297,11 @@ def learned_words(extreme: DataFrame, languages: list[str], reference: dict[str,
     spoken, joining = set(), set()
     for k in languages:
         for token, q in reference[k].items():
-            # Names of goods cross languages: the flagged pages of all of them say as much as the language's own.
+            # Names of goods cross languages: the strong pages of all of them say as much as the language's own.
             p = max(there.get((k, token), 0.0) / (sizes.get(k, 0) + PRIOR), anywhere.get(token, 0.0) / (every + PRIOR))
             if q >= CONTRAST * p:
                 spoken.add(token)
-            elif len(token) <= SHORT and q * CONTRAST >= p:
+            elif len(token) <= SHORT and q >= JOINING and q * CONTRAST >= p:
                 joining.add(token)
     return Words(frozenset(spoken), frozenset(joining - spoken))
 
@@ -319,8 +320,8 @@ def stuffed_pages(documents: DataFrame) -> DataFrame:
     # One narrow row a page; the norms and the flags both read it.
     far = checkpointed(page_curves(texts, languages, reference))
     extreme = flagged(distances(far))
-    candidates = checkpointed(texts.join(extreme, "doc_id").select("doc_id", "text", "language"))
-    words = documents.sparkSession.sparkContext.broadcast(learned_words(candidates, languages, reference))
+    candidates = checkpointed(texts.join(extreme, "doc_id").select("doc_id", "text", "language", "far_divergence"))
+    words = documents.sparkSession.sparkContext.broadcast(learned_words(candidates.filter(F.col("far_divergence") > STRONG), languages, reference))
 
     def stuffed_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
