@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from pricelattice.operators.period_history import coalesce_runs, price_versions
+from pricelattice.operators.period_history import Runs, merge_round, price_versions, reduced
 from pricelattice.operators.periods import fold_periods, islands, mark_missing
 from tests.frames import frame
 
@@ -60,13 +60,43 @@ def test_empty_and_void(spark):
     assert price_versions(frame(spark, [(1, "a", "1", None, D0, D0, "1", 0, "")], COLS)).count() == 0
 
 
-def test_coalesce_runs():
-    r = np.random.default_rng(1)
-    for n in (0, 1, 2, 3, 17, 100):
-        entity, payload = np.sort(r.integers(0, 4, n)), r.integers(0, 2, n)
-        want = np.ones(n, bool)
-        want[1:] = (entity[1:] != entity[:-1]) | (payload[1:] != payload[:-1])
-        assert (coalesce_runs(entity, payload) == want).all()
+def random_runs(seed, lists, groups):
+    """Runs of several lists a group, and each group's days as the latest list paints them."""
+    r, rows, days = random.Random(seed), [], {}
+    for g in range(groups):
+        for k in range(r.randint(1, lists)):
+            at = r.randint(0, 20)
+            for _ in range(r.randint(0, 4) if k else 1):
+                at += r.randint(0, 3)
+                last, payload = at + r.randint(0, 6), (r.randint(1, 2), r.choice(b"01"))
+                rows.append((g, k, at, last, *payload))
+                days.update({(g, d): (k, payload) for d in range(at, last + 1) if days.get((g, d), (-1,))[0] <= k})
+                at = last + 1
+    return Runs(*(np.array(c, np.int64) for c in zip(*rows))), {k: v[1] for k, v in days.items()}
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_rounds_merge_like_painting(seed):
+    runs, days = random_runs(seed, 1 + 3 * (seed % 6), 5)
+    rounds = 0
+    while runs.list.max() > 0:
+        before = runs.list.max()
+        runs, rounds = merge_round(runs), rounds + 1
+        assert runs.list.max() == before // 2
+    got = {(g, d): (p, f) for g, _, a, z, p, f in zip(*runs) for d in range(a, z + 1)}
+    assert got == days and sum(runs.last - runs.first + 1) == len(days)
+    # Coalesced: no two adjacent runs of a group agree.
+    assert not ((runs.group[1:] == runs.group[:-1]) & (runs.last[:-1] + 1 == runs.first[1:]) & (runs.price[1:] == runs.price[:-1]) & (runs.flag[1:] == runs.flag[:-1])).any()
+
+
+def test_rounds_are_logarithmic(monkeypatch):
+    from pricelattice.operators import period_history
+
+    calls = []
+    monkeypatch.setattr(period_history, "merge_round", lambda runs: calls.append(1) or merge_round(runs))
+    n = 1000
+    runs = reduced(Runs(np.zeros(n, np.int64), np.arange(n), np.arange(n), np.arange(n) + 1, np.ones(n, np.int64), np.full(n, 49)))
+    assert len(calls) == 10 and list(zip(*runs)) == [(0, 0, 0, n, 1, 49)]
 
 
 def test_folds(spark):
