@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelattice.operators.arrow_groups import group_starts, whole_groups
+from pricelattice.session import checkpointed
 
 FIELDS = ("price_unit", "price_bulk")
 AROUND = 4  # dates before and after
@@ -32,6 +33,7 @@ STUCK_RATE, STUCK_STAYS = 0.003, 0.9
 STUCK_DATES = 5
 STEADY = 0.08  # a seller with a greater rate of unchanged values has no stuck state
 HOT_ROWS = 200_000
+MAX_HOT = 100_000  # hot listings whose hashes are broadcast; more are joined
 MAX_SELLERS = 100_000  # parameters broadcast up to here (about 150 bytes each), joined beyond
 
 
@@ -289,7 +291,6 @@ def implausible_prices(snapshots: DataFrame, hot_rows: int = HOT_ROWS) -> DataFr
     with two dates only the value farther from the seller's usual price can be off. Further columns are
     ignored; an empty table gives no rows.
     """
-    spark = snapshots.sparkSession
     prices = [F.col(f).cast("double").alias(f) for f in FIELDS]
     every = snapshots.select("supplier", "sku", F.col("scraped_at").cast("date").alias("day"), F.col("id").cast("long").alias("id"), *prices)
     keyed = "supplier is not null and sku is not null and day is not null"
@@ -299,14 +300,19 @@ def implausible_prices(snapshots: DataFrame, hot_rows: int = HOT_ROWS) -> DataFr
     bare = bare.filter("v.value <= 0").select("id", "v.field")
 
     key = F.xxhash64("supplier", "sku")
-    hot = [r.h for r in rows.groupBy(key.alias("h")).count().filter(F.col("count") > hot_rows).select("h").limit(10_000).collect()]
-    cold = rows.filter(~key.isin(hot)) if hot else rows
+    counts = rows.groupBy("supplier", key.alias("h")).count()
+    sellers, widest = counts.groupBy("supplier").agg(F.max("count").alias("n")).agg(F.count("*"), F.max("n")).first()
+    hot, cold = None, rows
+    if (widest or 0) > hot_rows:
+        hot = checkpointed(counts.filter(F.col("count") > hot_rows).select("h"))
+        hot = F.broadcast(hot) if hot.count() <= MAX_HOT else hot
+        cold = rows.join(hot, key == F.col("h"), "left_anti")
     order = ["supplier", "sku", "day", "id"]
     met = cold.repartition("supplier", "sku")
     collapsed = None
-    if hot:
+    if hot is not None:
         # One row a (listing, date, pair of values), however often it repeats.
-        collapsed = rows.filter(key.isin(hot)).groupBy("supplier", "sku", "day", *FIELDS).agg(F.max("id").alias("id")).repartition("supplier", "sku")
+        collapsed = rows.join(hot, key == F.col("h"), "left_semi").groupBy("supplier", "sku", "day", *FIELDS).agg(F.max("id").alias("id")).repartition("supplier", "sku")
     counted = [part.sortWithinPartitions(*order).mapInArrow(_histogram, "supplier string, field int, bin int, points long, same long, steps long, log_sum double") for part in (met, collapsed) if part is not None]
     histogram = counted[0] if len(counted) == 1 else counted[0].unionByName(counted[1])
     fitted = (
@@ -318,14 +324,14 @@ def implausible_prices(snapshots: DataFrame, hot_rows: int = HOT_ROWS) -> DataFr
     wide = fitted.groupBy("supplier").agg(*[F.max(F.when(F.col("field") == n, F.col(p))).alias(f"{p}_{n}") for n in range(len(FIELDS)) for p in PARAMETERS])
     default = {"narrow": 0.02, "wide": 0.15, "w_narrow": 0.7, "w_wide": 0.3, "same_rate": 1.0, "centre": 0.0}
     wide = wide.fillna({f"{p}_{n}": v for p, v in default.items() for n in range(len(FIELDS))})
-    sellers = rows.select("supplier").distinct().limit(MAX_SELLERS + 1).count()
-    parameters = F.broadcast(wide) if sellers <= MAX_SELLERS else wide
-    judged = met.join(parameters, "supplier").sortWithinPartitions(*order).mapInArrow(_judged, "id long, field string")
+    # A join that isn't broadcast may cut a listing in two, so its rows meet again.
+    known = lambda part: part.join(F.broadcast(wide), "supplier") if sellers <= MAX_SELLERS else part.join(wide, "supplier").repartition("supplier", "sku")
+    judged = known(met).sortWithinPartitions(*order).mapInArrow(_judged, "id long, field string")
     out = judged.unionByName(bare)
     if collapsed is not None:
-        wrong = collapsed.join(parameters, "supplier").sortWithinPartitions(*order).mapInArrow(_judged_values, "supplier string, sku string, day date, field string, value double")
+        wrong = known(collapsed).sortWithinPartitions(*order).mapInArrow(_judged_values, "supplier string, sku string, day date, field string, value double")
         for field in FIELDS:
             # A value stands in several collapsed rows if the other price of its date varies; each row of the date is one case.
             mine = wrong.filter(F.col("field") == field).select("supplier", "sku", "day", F.col("value").alias(field))
-            out = out.unionByName(rows.filter(key.isin(hot)).join(mine, ["supplier", "sku", "day", field], "left_semi").select("id", F.lit(field).alias("field")))
+            out = out.unionByName(rows.join(hot, key == F.col("h"), "left_semi").join(mine, ["supplier", "sku", "day", field], "left_semi").select("id", F.lit(field).alias("field")))
     return out

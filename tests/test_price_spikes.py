@@ -66,8 +66,13 @@ def test_repeated_rows_are_cases_of_their_own(spark):
     assert sorted(r.id for r in implausible_prices(frame(spark, rows, COLS)).collect()) == [20, 21]
 
 
+@pytest.mark.parametrize("bounds", [(100_000, 100_000), (0, 0)])
 @pytest.mark.parametrize("hot_rows", [200_000, 10])
-def test_hot_listings_give_each_row_once(spark, hot_rows):
+def test_hot_listings_give_each_row_once(spark, hot_rows, bounds, monkeypatch):
+    from pricelattice.operators import price_spikes
+
+    monkeypatch.setattr(price_spikes, "MAX_HOT", bounds[0])
+    monkeypatch.setattr(price_spikes, "MAX_SELLERS", bounds[1])
     d = [dt.date(2025, 1, n) for n in range(1, 12)]
     rows = [(n, "a", "s", x, 10 + n / 100, 8 + n / 100, None, None) for n, x in enumerate(d)]
     rows += [(20 + n, "a", "s", d[5], 1000, bulk, None, None) for n, bulk in enumerate([8.01, 8.02, 8.03, None, 8.03])] + [(30, "a", "s", d[5], 10.05, 8.05, None, None)]
