@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The accented letters of Spanish, Portuguese and French names, and their plain forms.
-ACCENTED = "ÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÑÇÝáàâãäåéèêëíìîïóòôõöúùûüñçýÿ"
-PLAIN = "AAAAAAEEEEIIIIOOOOOUUUUNCYaaaaaaeeeeiiiiooooouuuuncyy"
+
+
+def _composed() -> tuple[str, str]:
+    """All characters that canonical decomposition turns into one character and combining marks, and those characters."""
+    accented, plain = [], []
+    for code in range(0x80, 0x30000):
+        c = chr(code)
+        base = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+        if len(base) == 1 and base != c:
+            accented.append(c)
+            plain.append(base)
+    return "".join(accented), "".join(plain)
+
+
+ACCENTED, PLAIN = _composed()
 
 
 def unaccent(c: Column) -> Column:
-    """Without accents, other characters kept."""
-    return F.translate(c, ACCENTED, PLAIN)
+    """Without accents, typed as one character or as combining marks; other characters, Hangul among them, are kept."""
+    return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"\p{Mn}+", "")
 
 
 def ascii_fold(c: Column) -> Column:
@@ -42,3 +56,29 @@ def clean_title(c: Column) -> Column:
     words = F.split(F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " ")), " ")
     shown = F.transform(words, lambda w, i: F.when((i > 0) & w.isin(*SMALL_WORDS), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))))
     return F.array_join(shown, " ")
+
+
+def collapsed(c: Column) -> Column:
+    """Blanks of any kind collapsed to one and trimmed."""
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+
+
+def mended_fold(c: Column) -> Column:
+    """``ascii_fold`` in which a broken character (U+FFFD) reads as the N that it mostly stood for."""
+    return ascii_fold(F.replace(c, F.lit("\ufffd"), F.lit("N")))
+
+
+def title_words(c: Column) -> Column:
+    """Each run of letters capitalised, whatever stands before it: ``d/amb.`` gives ``D/Amb.``."""
+    letters = F.split(F.lower(c), "")
+    return F.array_join(F.transform(letters, lambda x, i: F.when(F.get(letters, i - 1).rlike(r"\p{L}") & (i > 0), x).otherwise(F.upper(x))), "")
+
+
+# A damaged word of a catalogue's categories and what it was.
+DAMAGED = {"Pa Ales": "Pañales"}
+
+
+def mended_words(c: Column) -> Column:
+    for damaged, whole in DAMAGED.items():
+        c = F.replace(c, F.lit(damaged), F.lit(whole))
+    return c

@@ -20,9 +20,8 @@ def search(frame: DataFrame, pattern: str, columns: Sequence[str]) -> DataFrame:
 
 
 def choose(frame: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
-    """Rows with one of the values, compared folded; no values, no filter."""
-    wanted = sorted({v for v in values})
-    return frame.filter(folded(F.col(column)).isin(*[re.sub(r"\s+$", "", v) for v in wanted])) if wanted else frame
+    """Rows with one of the values, both sides folded; no values, no filter."""
+    return frame.filter(folded(F.col(column)).isin(*[folded(F.lit(v)) for v in sorted(set(values))])) if values else frame
 
 
 def cascade(frame: DataFrame, choices: dict[str, Sequence[str]]) -> DataFrame:

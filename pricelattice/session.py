@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,16 +38,41 @@ def read_table(spark: SparkSession, folder: str, name: str, *columns: str) -> Da
 def checkpointed(frame: DataFrame) -> DataFrame:
     """``frame`` with its lineage cut by a reliable checkpoint in the cluster's shared folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a
-    temporary folder is taken.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a local session (tests, a laptop) takes a
+    temporary folder, which goes with the process; on a cluster it is an error, for a folder of one machine loses
+    what an executor wrote.
     """
     spark = frame.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return frame.checkpoint(eager=True)
 
 
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of a path of any scheme, by the session's Hadoop configuration."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = file_system(spark, path)
+    return files.exists(at)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, empty if there is none."""
+    files, at = file_system(spark, path)
+    return sorted(s.getPath().getName() for s in files.listStatus(at)) if files.exists(at) else []
+
+
 def spread(frame: DataFrame, bytes_a_core: int = 64 << 20) -> DataFrame:
     """``frame`` over all cores, for work that is heavy a row.
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricelattice.functions.fmt import fixed_width
+from pricelattice.session import exists
 
 MAX_SHEET_ROWS = 1_000_000  # rows a spreadsheet holds
 
@@ -71,7 +70,7 @@ def create_tables(spark: SparkSession, folder: str, schemas: dict[str, T.StructT
     made = []
     for name, schema in schemas.items():
         path = f"{folder}/{name}.parquet"
-        if not os.path.exists(path):
+        if not exists(spark, path):
             spark.createDataFrame([], schema).write.parquet(path)
             made.append(name)
     return made

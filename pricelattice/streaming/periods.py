@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pricelattice.operators.merge import upsert
+from pricelattice.session import exists, names_in
 
 PERIOD = "supplier string, sku string, price_cents long, first_seen date, last_seen date, stock_flags string, closed boolean"
 
@@ -66,9 +66,8 @@ class VersionedTable:
         self.spark, self.path = spark, path
 
     def versions(self) -> list[int]:
-        if not os.path.isdir(self.path):
-            return []
-        return sorted(int(d[1:]) for d in os.listdir(self.path) if d.startswith("v") and os.path.exists(f"{self.path}/{d}/_SUCCESS"))
+        found = [n for n in names_in(self.spark, self.path) if n[:1] == "v" and n[1:].isdigit()]
+        return sorted(int(n[1:]) for n in found if exists(self.spark, f"{self.path}/{n}/_SUCCESS"))
 
     def read(self, before: int | None = None) -> DataFrame | None:
         past = [v for v in self.versions() if before is None or v < before]

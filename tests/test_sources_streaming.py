@@ -157,3 +157,49 @@ def test_merge_stream_and_windows(spark, tmp_path):
     events = spark.createDataFrame([(t, "a", 1.0), (t + dt.timedelta(minutes=5), "a", 2.0), (t + dt.timedelta(hours=2), "a", 4.0)], "ts timestamp_ntz, event_type string, value double")
     assert sorted(r.n for r in windowed_counts(events, "tumbling", "1 hour").collect()) == [1, 2]
     assert sorted(r.total for r in windowed_counts(events, "session", "30 minutes").collect()) == [3.0, 4.0]
+
+
+def test_versions_on_any_file_system(spark, tmp_path):
+    """A path with a scheme finds its earlier versions, so that a batch is merged into them."""
+    table = VersionedTable(spark, f"file:{tmp_path}/t")
+    assert table.versions() == [] and table.read() is None
+    table.write(spark.range(2).toDF("k"), 1)
+    table.write(spark.range(5).toDF("k"), 2)
+    (tmp_path / "t" / "v3").mkdir()  # an unfinished one
+    assert table.versions() == [1, 2] and table.read().count() == 5 and table.read(before=2).count() == 2
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from pricelattice import session
+
+    class Unset:
+        def isEmpty(self):  # noqa: N802
+            return True
+
+    class Context:
+        master = "spark://somewhere"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: Unset()})()})()
+
+    class Session:
+        sparkContext, conf = Context(), {}  # noqa: N815
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpointed(type("F", (), {"sparkSession": Session()})())
+
+
+def test_accents_typed_in_any_way(spark):
+    import unicodedata
+
+    from pricelattice.functions.text import ascii_fold, fold, mended_fold, title_words, unaccent
+
+    texts = ["Piñon", "Piñon", "Škoda", "Ångström", "Łódź", "ß°½", "Café ﬁn", "Ấp", ""]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    bare = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
+    for r in frame.select("t", unaccent(F.col("t")).alias("u"), ascii_fold(F.col("t")).alias("a"), fold(F.col("t")).alias("f")).collect():
+        assert r.u == bare(r.t) and r.a == bare(r.t).encode("ascii", "ignore").decode() and r.f == r.a.lower()
+    assert one(spark, keys.brand_core(F.lit("Piñon"))) == "PINON" and one(spark, mended_fold(F.lit("Pa�ales"))) == "PaNales" and one(spark, title_words(F.lit("d/amb. pOETT"))) == "D/Amb. Poett"
+
+
+def test_choices_fold_both_sides(spark):
+    rows = spark.createDataFrame([("Atún",), ("ATUN ",), ("Sal",), (None,)], "k string")
+    assert relational.choose(rows, "k", ["Atún"]).count() == 2 and relational.choose(rows, "k", []).count() == 4
