@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from pricelattice.llm.ref_mapping import Trie, build_mapper, map_values, osa
+from pricelattice.llm.ref_mapping import Trie, aliases, build_mapper, entries_in_reach, map_values, osa, reach, squeeze
 
 REFS = [
     (1, "brand", "Kudrodiax"), (2, "brand", "La Lumcom"), (3, "brand", "Tívonplex Nórperye"), (4, "product_type", "Fideos Mostachol"), (5, "product_type", "Fideos Tallarín"),
@@ -49,3 +49,28 @@ def test_frame(spark, shard):
     assert got == [("a", "1", "brand", 1), ("a", "1", "category", 8), ("a", "2", "brand", 0), ("b", "1", "brand", 2), ("b", "1", "category", 0), ("b", "1", "product_type", 0)]
     assert map_values(products.limit(0), refs, codes).count() == 0
     assert {r.ref_id for r in map_values(products, refs.limit(0), codes.limit(0)).collect()} == {0}
+
+
+@pytest.mark.parametrize("shard", [4, 1])
+def test_shards_decide_alike(spark, shard):
+    """Full spellings before aliases, single continuations and codes, whichever shard knows of them."""
+    refs = [*REFS, (11, "brand", "Miel Pura"), (12, "brand", "Pura Miel"), (13, "brand", "Continuando Uno"), (14, "brand", "Continuando Dos"), (15, "brand", "Soledad Larga"), (16, "category", "Otra > Infusiones")]
+    values = [("brand", v) for v in ("PURA MIEL", "MIEL PURA", "Continuando", "Soledad L", "PURA MIAL", "Kudordiax", "La Lumcom", "zzz", "")] + [("category", v) for v in ("1_101", "1_999", "5-104", "infusiones")]
+    t = dt.datetime(2025, 1, 1)
+    cols = "supplier string, sku string, updated_at timestamp_ntz, brand string, product_type string, category string"
+    rows = [("a", str(n), t, v if f == "brand" else None, None, v if f == "category" else None) for n, (f, v) in enumerate(values)]
+    products = spark.createDataFrame(rows, cols)
+    frame, codes = spark.createDataFrame(refs, "ref_id long, field string, value string"), spark.createDataFrame(CODES, "cpath string, name string")
+    mapper = build_mapper(refs, CODES)
+    want = {(str(n), f): hit[0] for n, (f, v) in enumerate(values) if (hit := mapper.map(f, v))}
+    assert {(r.sku, r.field): r.ref_id for r in map_values(products, frame, codes, shard).collect()} == want
+    assert want["0", "brand"] == 12 and want["2", "brand"] == 0 and want["3", "brand"] == 15 and ("6", "brand") not in want
+    near = entries_in_reach(products, frame, codes, shard).collect()
+    assert sorted(map(tuple, near)) == sorted(map(tuple, entries_in_reach(products, frame, codes).collect()))
+    # All entries within the distance, by brute force over the aliases.
+    for value in ("PURA MIAL", "Kudordiax"):
+        form = squeeze(value)
+        brute = {r: min(osa(form, a) for a in aliases(v, False)) for r, f, v in refs if f == "brand"}
+        # The full spelling of one entry is not an alias of another.
+        got = {r.ref_id: r.distance for r in near if r.value == value}
+        assert got and set(got) <= {r for r, d in brute.items() if d <= reach(len(form))} and min(got.values()) == min(brute.values())
