@@ -33,7 +33,7 @@ PART = 0.3  # of the least BM25 mass of LEAST_WORDS consecutive item words: an i
 K1, B = 1.2, 0.5
 BLOCK = 16  # items of a postings block
 REACH = 2  # one single word replaced, dropped or put in between two matched ones
-_TAG = re.compile(r"<[^<>]{0,300}>")
+_TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
 
 

@@ -31,7 +31,7 @@ from pricelattice.operators.units import listing_quantities
 from pricelattice.session import checkpointed, spread
 
 WINDOW = 12
-MAX_REFS = 50_000
+MAX_REFS = 50_000  # entries whose trie each worker holds; more raise an error
 COMMONER = 4  # so many times as frequent a word makes one an edit away its slip; for two edits, its square
 # Words that introduce a variant without being part of it.
 INTRODUCING = frozenset("sabor c con sin aroma fragancia x".split())
@@ -71,8 +71,11 @@ class Reader:
 
     def __init__(self, mapper: Mapper | None, kinds: list[tuple[int, str]], vocabulary: list[str]):
         self.mapper = mapper
-        self.kinds = [(str(r), words(v)) for r, v in kinds]
-        self.exact_kind = {squeeze(v): str(r) for r, v in kinds}
+        # A word that spells, cuts off or misspells a kind's first word shares its first letter.
+        self.kinds: dict[str, list[tuple[int, str, list[str]]]] = {}
+        for n, (r, v) in enumerate(kinds):
+            if parts := words(v):
+                self.kinds.setdefault(parts[0][0], []).append((n, str(r), parts))
         self.brands = {} if mapper is None else {a: min(r) for a, r in mapper.tries["brand"].alias.items() if len(a) > 3}
         self.entry = {} if mapper is None else {v: str(min(r)) for f in ("brand", "product_type") for v in mapper.tries[f].exact if (r := mapper.tries[f].alias.get(squeeze(v)))}
         self.vocabulary = set(vocabulary)
@@ -130,8 +133,10 @@ class Reader:
     def _kind_at(self, name: list[str]) -> tuple[str, int, int] | None:
         """(kind, first word, words) that the words of a name spell, abbreviate or misspell; the closest fit."""
         best = None
-        for kind, parts in self.kinds:
-            for i in range(len(name) - len(parts) + 1):
+        for i, first in enumerate(name):
+            for n, kind, parts in self.kinds.get(first[0], ()):
+                if i + len(parts) > len(name):
+                    continue
                 fit = 0.0
                 for part, w in zip(parts, name[i:]):
                     if w == part:
@@ -143,8 +148,9 @@ class Reader:
                     else:
                         fit = 0.0
                         break
-                if fit and (best is None or (fit / len(parts), len(parts)) > best[0]):
-                    best = ((fit / len(parts), len(parts)), kind, i, len(parts))
+                # Of equal fits the kind that comes first, then the place.
+                if fit and (best is None or (fit / len(parts), len(parts), -n, -i) > best[0]):
+                    best = ((fit / len(parts), len(parts), -n, -i), kind, i, len(parts))
         return best[1:] if best else None
 
     def _brand_at(self, name: list[str], used: set[int], nearly: bool) -> tuple[str, int, int] | None:
@@ -350,23 +356,22 @@ def signatures(products: DataFrame, refs: DataFrame) -> DataFrame:
     texts = ["product_id", "name", "brand", "product_type", "variant"]
     one = products.filter("supplier is not null and sku is not null and product_id is not null").groupBy("supplier", "sku").agg(F.max(F.struct("updated_at", *texts)).alias("r")).select("supplier", "sku", *[F.col(f"r.{c}").alias(c) for c in texts])
     valid = refs.filter("ref_id is not null and field is not null and value is not null").select("ref_id", "field", "value")
-    entries = [(r.ref_id, r.field, r.value) for r in valid.limit(MAX_REFS + 1).collect()]
-    if len(entries) > MAX_REFS:  # beyond the bound brands and kinds are compared as typed
-        entries = None
+    entries = sorted((r.ref_id, r.field, r.value) for r in valid.limit(MAX_REFS + 1).collect())
+    if len(entries) > MAX_REFS:
+        raise ValueError(f"more than {MAX_REFS} reference entries; match the listings of a part of the brands at a time")
     said = one.filter("variant is not null").select(F.explode(F.regexp_extract_all(F.lower(unaccent(F.col("variant"))), F.lit(r"[\p{L}\p{N}]+\.?"), F.lit(0))).alias("t"))
     said = said.select(F.rtrim(F.col("t"), F.lit(".")).alias("w"), F.endswith("t", F.lit(".")).cast("int").alias("stop")).filter(F.length("w") > 2)
     # One row a distinct word.
     counts = [(r.w, r.n, r.stops) for r in said.groupBy("w").agg(F.count("*").alias("n"), F.sum("stop").alias("stops")).collect()]
     vocabulary = variant_words([x for x in counts if not x[0].isdigit() and x[0] not in INTRODUCING])
     shared = spark.sparkContext.broadcast((entries, vocabulary))
-    key = hash((tuple(entries or ()), tuple(vocabulary)))
+    key = hash((tuple(entries), tuple(vocabulary)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _READERS.get(key)
         if reader is None:
             known, spoken = shared.value
-            mapper = build_mapper(known, []) if known is not None else None
-            reader = _READERS[key] = Reader(mapper, [(r, v) for r, f, v in known or [] if f == "product_type"], spoken)
+            reader = _READERS[key] = Reader(build_mapper(known, []), [(r, v) for r, f, v in known if f == "product_type"], spoken)
         for batch in batches:
             out = [reader.read(*row) for row in zip(*(batch.column(c).to_pylist() for c in texts[1:]))]
             yield pa.record_batch(

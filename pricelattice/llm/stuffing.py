@@ -54,7 +54,7 @@ _CODE_LINE = re.compile(
     r"|=>|\w\([^)]*\);?\s*$|\w\(\w+\.\w+\)|\{\s*\w+[:,]|\s\|\s*(?:sort|uniq|grep|cut|awk|head)\b",
 )
 _PART = re.compile(
-    r"(?P<link><a\b[^>]*href\s*=\s*[\"']?[^\"'>\s]+[^>]*>|(?:https?://|www\.)[^\s<>\"')\]]+)|(?P<mark><[^>]{0,200}>)|(?P<blob>[A-Za-z0-9+/=_-]{41,})"
+    r"(?P<link><a\b[^>]*href\s*=\s*[\"']?[^\"'>\s]+[^>]*>|(?:https?://|www\.)[^\s<>\"')\]]+)|(?P<mark></?[A-Za-z!][^<>]*>)|(?P<blob>[A-Za-z0-9+/=_-]{41,})"
     r"|(?P<tag>#[^\W_][\w'-]*)|(?P<word>[^\W_][\w'’-]*)|(?P<stop>\x00+|[,;:.!?¡¿•·|/»>\n\r()\[\]\"–—]|\s-\s)",
     re.I,
 )

@@ -84,3 +84,10 @@ def test_frame(spark, shard):
     got = sorted((r.doc_id, r.item_id) for r in leaked_items(d, i, shard).collect())
     assert got == [(1, 7), (1, 8), (2, 7), (2, 8)]
     assert leaked_items(d.limit(0), i).count() == 0 and leaked_items(d, i.limit(0)).count() == 0
+
+
+def test_only_markup_is_dropped():
+    from pricelattice.llm.leakage import fold_words
+
+    assert fold_words("uno < dos y tres > cuatro") == ["uno", "dos", "y", "tres", "cuatro"]
+    assert fold_words('uno <a href="' + "x" * 2000 + '">dos</a> tres') == ["uno", "dos", "tres"]
