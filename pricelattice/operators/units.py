@@ -134,12 +134,15 @@ def source_corrections(based: DataFrame, agreed: DataFrame, least: int = SOURCE_
     """
     links = based.join(agreed.withColumnRenamed("family", "agreed_family"), "entity").filter("family is null or family = agreed_family")
     links = links.groupBy("source", F.col("agreed_family").alias("of"), "entity", F.col("family").isNotNull().alias("known"), "agreed").agg(F.min("v").alias("v"))
-    fit = _modal(links.withColumn("ratio", F.col("agreed") / F.col("v")), ["source", "of", "known"]).withColumn("scale", _snapped(F.col("ratio")))
-    fits = F.col("scale").isNotNull() & (F.col("agree") >= SOURCE_SHARE * F.col("links"))
+    fit = checkpointed(_modal(links.withColumn("ratio", F.col("agreed") / F.col("v")), ["source", "of", "known"]).withColumn("scale", _snapped(F.col("ratio"))))  # one row a source
+    fits = F.coalesce(F.col("scale").isNotNull() & (F.col("agree") >= SOURCE_SHARE * F.col("links")), F.lit(False))
     scaled = fit.filter(fits & (F.col("agree") >= least)).filter("not known or scale != 1").select("source", F.col("of").alias("family"), "scale", F.lit(0.0).alias("shift"))
-    # Sources that no ratio fits: slopes between the extremes of small blocks of entities, then the median remainder.
-    stray = fit.filter(~F.coalesce(fits, F.lit(False)) & (F.col("links") >= 2 * least)).select("source", "of", F.col("links").alias("n"))
-    rest = links.join(stray, ["source", "of"])
+    stray = fit.filter(~fits & (F.col("links") >= 2 * least)).select("source", "of", F.col("links").alias("n"))
+    return scaled if stray.isEmpty() else scaled.unionByName(_shifted(links.join(stray, ["source", "of"]), least))
+
+
+def _shifted(rest: DataFrame, least: int) -> DataFrame:
+    """Scale and shift of the sources that no ratio fits, by slopes between the extremes of small blocks of entities; ``rest`` are their links."""
     block = F.pmod(F.xxhash64("entity"), F.greatest(F.lit(1), F.floor(F.col("n") / BLOCK)).cast("long"))
     ends = rest.groupBy("source", "of", block.alias("block")).agg(F.min(F.struct("v", "agreed")).alias("a"), F.max(F.struct("v", "agreed")).alias("b")).filter("b.v > 1.1 * a.v")
     slope = ends.groupBy("source", "of").agg(F.expr("percentile_approx((b.agreed - a.agreed) / (b.v - a.v), 0.5, 1000)").alias("slope"))
@@ -147,7 +150,7 @@ def source_corrections(based: DataFrame, agreed: DataFrame, least: int = SOURCE_
     moved = rest.join(slope, ["source", "of"])
     shift = moved.groupBy("source", "of", "scale").agg(F.expr("percentile_approx(agreed - scale * v, 0.5, 1000)").alias("shift"))
     held = moved.join(shift, ["source", "of", "scale"]).groupBy("source", "of", "scale", "shift").agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("scale") * F.col("v") + F.col("shift") - F.col("agreed")) <= SNAP * F.col("agreed")).alias("agree"))
-    return scaled.unionByName(held.filter(f"agree >= {least} and agree >= {SOURCE_SHARE} * n").select("source", F.col("of").alias("family"), "scale", "shift"))
+    return held.filter(f"agree >= {least} and agree >= {SOURCE_SHARE} * n").select("source", F.col("of").alias("family"), "scale", "shift")
 
 
 def slips_mended(typed: DataFrame, facts: DataFrame) -> DataFrame:
@@ -188,8 +191,8 @@ def listing_quantities(products: DataFrame, least: int = LEAST_LINKS, source_lea
     entity = F.when(F.col("brand").isNotNull() & F.col("variant").isNotNull(), F.xxhash64(F.concat_ws("|", word_key(F.col("brand")), word_key(F.col("variant")))))
     # Texts are parsed once; links, scales and answers read the narrow result.
     parsed = checkpointed(
-        spread(one).withColumn("p", read_as_written("name", "size", F.col("size_value").cast("double"), "size_unit")).select("supplier", "sku", entity.alias("entity"), "p.*").filter(" or ".join(f"{p}_x is not null" for p in PLACES))
-    )
+        spread(one).withColumn("p", read_as_written("name", "size", F.col("size_value").cast("double"), "size_unit")).select("supplier", "sku", entity.alias("entity"), "p.*")
+    ).filter(" or ".join(f"{p}_x is not null" for p in PLACES))
     every = F.array(*[F.struct(F.lit(p).alias("place"), *[F.col(f"{p}_{c}").alias(c) for c in ("x", "notation", "pieces")]) for p in PLACES])
     single = parsed.filter("entity is not null and coalesce(name_pieces, 1) = 1 and coalesce(size_pieces, 1) = 1")
     readings = single.select("supplier", "entity", F.explode(F.filter(every, lambda r: r["x"].isNotNull())).alias("r")).select("supplier", "entity", "r.*")
@@ -199,8 +202,8 @@ def listing_quantities(products: DataFrame, least: int = LEAST_LINKS, source_lea
     source = F.concat_ws("|", "supplier", "place", "notation").alias("source")
     value = (F.col("x") * F.coalesce("unit_scale", F.lit(1.0))).alias("v")
     based = readings.join(known, "notation", "left").select("supplier", "entity", source, "family", value)
-    agreed = agreed_quantities(based)
-    corrections = source_corrections(based, agreed, source_least)
+    agreed = checkpointed(agreed_quantities(based))  # one narrow row an entity
+    corrections = checkpointed(source_corrections(based, agreed, source_least))  # one a source that stands off
 
     first = F.coalesce(*[F.when(F.col(f"{p}_x").isNotNull(), F.struct(F.lit(p).alias("place"), *[F.col(f"{p}_{c}").alias(c) for c in ("x", "notation", "pieces")])) for p in PLACES])
     stated = parsed.select("supplier", "sku", "entity", first.alias("r")).select("supplier", "sku", "entity", "r.*").join(known, "notation", "left")
