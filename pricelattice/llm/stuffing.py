@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelattice.session import checkpointed, spread
+from pricelattice.session import checkpointed
 
 TOKEN = r"https?://[^\s<>\"')\]]+|www\.[^\s<>\"')\]]+|#?[\p{L}\p{N}][\p{L}\p{N}\p{M}'_-]*"
 #: Code blocks, and lines of tables, shells and logs: no part of prose or of lists.
@@ -47,6 +47,7 @@ LEAST_ITEMS = 8
 BREAK = 5  # a sentence word outweighs so many items
 SHARE = 0.5  # of the characters
 MEASURES = tuple(EXTREME)
+MAX_BROADCAST = 500_000  # flagged pages of 24 bytes each
 
 _CODE_BLOCK = re.compile(r"```.*?(?:```|\Z)|<(pre|code)\b.*?(?:</\1>|\Z)", re.S | re.I)
 _CODE_LINE = re.compile(
@@ -159,8 +160,8 @@ def grouped(pages: DataFrame) -> DataFrame:
     Weights are lowered for texts that HEAVY of all pages or more share, of which at most 1 / HEAVY exist.
     """
     keyed = pages.withColumn("copy", F.xxhash64("text", F.length("text")))
-    counts = keyed.groupBy("copy").count().filter(F.col("count") >= max(2.0, HEAVY * pages.count()))
-    heavy = [F.lit(x) for r in counts.collect() for x in (r["copy"], 1.0 / r["count"])]
+    repeated = keyed.groupBy("copy").count().filter(F.col("count") >= max(2.0, HEAVY * pages.select("doc_id").count()))
+    heavy = [F.lit(x) for r in repeated.collect() for x in (r["copy"], 1.0 / r["count"])]
     weight = F.coalesce(F.create_map(*heavy)[F.col("copy")], F.lit(1.0)) if heavy else F.lit(1.0)
     return keyed.withColumn("weight", weight).withColumn("part", source_group()).drop("copy")
 
@@ -178,19 +179,20 @@ def references(pages: DataFrame) -> tuple[list[str], dict[str, dict[str, float]]
     there is one reference of all pages, named by the empty string.
     """
     language = F.coalesce(F.lower(F.substring(F.trim("lang"), 1, 2)), F.lit("?"))
-    parts = pages.select(language.alias("language"), "part", "weight", _tokens(F.col("text")).alias("t")).withColumn("letters", _letters(F.col("t"))).filter("letters > 0")
+    named = pages.withColumn("language", language)
     sizes: dict[str, dict[int, float]] = {}
     pages_of: dict[str, int] = {}
-    for r in parts.groupBy("language", "part").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect():
+    for r in named.groupBy("language", "part").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect():
         sizes.setdefault(r.language, {})[r.part] = r.w
         pages_of[r.language] = pages_of.get(r.language, 0) + r.n
     chosen = sorted(k for k, n in pages_of.items() if k != "?" and n >= max(LEAST_PAGES, LEAST_PART * sum(pages_of.values())))
     if chosen:
-        parts = parts.filter(F.col("language").isin(chosen))
+        named = named.filter(F.col("language").isin(chosen))
     else:
-        chosen, parts = [""], parts.withColumn("language", F.lit(""))
+        chosen, named = [""], named.withColumn("language", F.lit(""))
         sizes = {"": {p: sum(g.get(p, 0.0) for g in sizes.values()) for p in range(GROUPS) if any(p in g for g in sizes.values())}}
     total = F.create_map(*[F.lit(x) for k in chosen for p, w in sizes.get(k, {}).items() for x in (f"{k}|{p}", w)]) if any(sizes.get(k) for k in chosen) else F.create_map(F.lit(""), F.lit(1.0))
+    parts = named.select("language", "part", "weight", _tokens(F.col("text")).alias("t")).withColumn("letters", _letters(F.col("t"))).filter("letters > 0")
     shares = parts.select("language", "part", (F.col("weight") / F.col("letters")).alias("w"), F.explode("t").alias("token")).groupBy("language", "part", "token").agg((F.sum("w") * F.length("token")).alias("share"))
     shares = shares.withColumn("share", F.col("share") / F.element_at(total, F.concat_ws("|", "language", "part")))
     # A group has at most 1 / LEAST_SHARE tokens beyond the least share, and half of the groups must have a token.
@@ -315,12 +317,14 @@ def stuffed_pages(documents: DataFrame) -> DataFrame:
     """
     there = [c if c in documents.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "source")]
     pages = documents.filter("doc_id is not null and text is not null").select("doc_id", "text", *there)
-    languages, reference = references(spread(grouped(pages)))
+    languages, reference = references(grouped(pages))
     texts = pages.select("doc_id", "text", source_group().alias("part")).repartition("doc_id")
     # One narrow row a page; the norms and the flags both read it.
     far = checkpointed(page_curves(texts, languages, reference))
-    extreme = flagged(distances(far))
-    candidates = checkpointed(texts.join(extreme, "doc_id").select("doc_id", "text", "language", "far_divergence"))
+    extreme = flagged(distances(far)).select("doc_id", "language", "far_divergence")
+    # Few flagged pages go to the texts, many meet them by a shuffle.
+    extreme = F.broadcast(extreme) if extreme.count() <= MAX_BROADCAST else extreme
+    candidates = checkpointed(pages.select("doc_id", "text").join(extreme, "doc_id"))
     words = documents.sparkSession.sparkContext.broadcast(learned_words(candidates.filter(F.col("far_divergence") > STRONG), languages, reference))
 
     def stuffed_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
