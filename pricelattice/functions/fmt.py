@@ -65,3 +65,9 @@ def step_of_spread(low: Column, high: Column) -> Column:
     """A convenient step for choosing in a range of this width."""
     width = (high - low).cast("double")
     return F.when(width <= 5, 0.1).when(width <= 25, 0.25).when(width <= 100, 1.0).when(width <= 1000, 5.0).when(width.isNotNull(), 25.0)
+
+
+def composite_size(pieces: Column, value: Column, unit: Column) -> Column:
+    """``6x500 ml`` for a pack, ``500 ml`` for one piece, the pieces alone without a value; null without both."""
+    measure = F.concat_ws(" ", plain_number(value), unit)
+    return F.when(value.isNotNull() & (pieces > 1), F.concat(pieces.cast("string"), F.lit("x"), measure)).when(value.isNotNull(), measure).when(pieces.isNotNull(), F.concat(pieces.cast("string"), F.lit(" uni")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pricelattice.functions.text import fold, unaccent
+from pricelattice.functions.text import fold, title_words, unaccent
 
 UNKNOWN = "?"
 
@@ -34,7 +34,7 @@ def canonical_key(brand: Column, kind: Column, variant: Column, measure: Column)
 def canonical_name(kind: Column, brand: Column, variant: Column, size: Column) -> Column:
     """Type, BRAND, variant and size in one text, unknown parts left out; null if all are."""
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
-    return F.nullif(F.concat_ws(" ", F.initcap(blank(kind)), F.upper(blank(brand)), F.lower(blank(variant)), blank(size)), F.lit(""))
+    return F.nullif(F.concat_ws(" ", title_words(blank(kind)), F.upper(blank(brand)), F.lower(blank(variant)), blank(size)), F.lit(""))
 
 
 def low_confidence(key: Column) -> Column:
@@ -72,3 +72,29 @@ def label(*parts: Column, separator: str = " | ") -> Column:
 def strip_session(url: Column) -> Column:
     """Without session id, page and sort parameters."""
     return F.regexp_replace(F.regexp_replace(url, r"(?i)([?&])(?:osCsid|sid|page|sort|p)=[^&#]*", "$1"), r"[?&]+(?=$|#)|(?<=[?&])&+", "")
+
+
+def product_id(short_code: Column, sku: Column) -> Column:
+    """``code_sku``; null if one of them is."""
+    return F.concat(short_code, F.lit("_"), sku)
+
+
+def rejoined_path(*parts: Column) -> Column:
+    """The parts that are known, joined by `` > ``; null without any."""
+    return F.nullif(F.concat_ws(" > ", *parts), F.lit(""))
+
+
+def normalized_brand(brand: Column, alias: Column) -> Column:
+    """``brand_core``, or the canonical brand that a lookup gave for it; empty text stays, punctuation alone is null."""
+    return F.when(brand == "", brand).otherwise(F.coalesce(alias, brand_core(brand)))
+
+
+def unpriced_label(text: Column, price: Column) -> Column:
+    """The label, marked where there is no price."""
+    return F.concat(text, F.when(price.isNull(), " (sin precio)").otherwise(""))
+
+
+def translated(key: Column, language: Column, texts: dict[tuple[str, str], str]) -> Column:
+    """The text of (language, key), else the English one, else the key."""
+    table = F.create_map(*[F.lit(x) for (lang, k), t in sorted(texts.items()) for x in (f"{lang}|{k}", t)])
+    return F.coalesce(table[F.concat_ws("|", language, key)], table[F.concat(F.lit("en|"), key)], key)

@@ -46,3 +46,13 @@ def to_base(value: Column, unit: Column) -> Column:
 def boxed_units(stock: Column) -> Column:
     """``uxb:24`` → 24, else null."""
     return F.regexp_extract(F.lower(F.trim(stock)), r"^uxb:\s*(\d+)$", 1).try_cast("int")
+
+
+def plain_float(raw: Column) -> Column:
+    """A number with a decimal dot, else null."""
+    return F.when(raw.rlike(r"^\s*[+-]?\d+(\.\d*)?\s*$"), raw.try_cast("double"))
+
+
+def comma_number(raw: Column) -> Column:
+    """``1,5`` → 1.5; no thousands."""
+    return F.replace(F.trim(raw), F.lit(","), F.lit(".")).try_cast("double")

@@ -57,3 +57,31 @@ def pair_ratio(prices: DataFrame, key: str, one: str, other: str) -> DataFrame:
     of = lambda s: F.max(F.when(F.col("supplier") == s, F.col("price")))
     both = prices.groupBy(key).agg(of(one).alias("price_a"), of(other).alias("price_b")).filter("price_a is not null and price_b > 0")
     return both.withColumn("ratio", F.floor(F.col("price_a").cast("double") / F.col("price_b").cast("double") * 10 + 0.5) / 10.0)
+
+
+MAX_SUPPLIERS = 5_000  # columns of a matrix; more raise an error
+
+
+def suppliers_of(offers: DataFrame) -> list[str]:
+    """All suppliers in order, for the columns of a matrix."""
+    rows = offers.select("supplier").filter("supplier is not null").distinct().limit(MAX_SUPPLIERS + 1).collect()
+    if len(rows) > MAX_SUPPLIERS:
+        raise ValueError(f"more than {MAX_SUPPLIERS} suppliers for the columns of a matrix")
+    return sorted(r.supplier for r in rows)
+
+
+def display_attributes(offers: DataFrame, key: str, columns: Sequence[str], *order: str) -> DataFrame:
+    """(key, columns): each attribute's first value that isn't null, in the order of ``order``."""
+    by = F.struct(*order)
+    return offers.groupBy(key).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), by)).alias(c) for c in columns])
+
+
+def hide_unpriced(matrix: DataFrame, suppliers: Sequence[str]) -> DataFrame:
+    """Rows with a price in some supplier's column."""
+    return matrix.filter(F.coalesce(*[F.col(s) for s in suppliers]).isNotNull())
+
+
+def match_groups(products: DataFrame, least_suppliers: int = 2) -> DataFrame:
+    """(canonical_key, listings, suppliers) of the keys at enough suppliers; listings without a key are of the unknown one."""
+    key = F.coalesce("canonical_key", F.lit("?|?|?|?")).alias("canonical_key")
+    return products.groupBy(key).agg(F.count("*").alias("listings"), F.countDistinct("supplier").alias("suppliers")).filter(F.col("suppliers") >= least_suppliers)

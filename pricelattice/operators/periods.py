@@ -79,3 +79,38 @@ def daily_flags(periods: DataFrame) -> DataFrame:
 def end_points(periods: DataFrame) -> DataFrame:
     """Both ends of each period, for step lines."""
     return periods.select(*KEY, F.explode(F.array("first_seen", "last_seen")).alias("day"), "price_unit")
+
+
+def upsert_day(periods: DataFrame, observed: DataFrame, day) -> DataFrame:
+    """Stored periods (id, supplier, sku, price, first_seen, last_seen, stock_flags) after a day's observations (supplier, sku, price, flag).
+
+    A listing's newest period (greatest first_seen, then id) is extended if its price is that of the day, null equal
+    to null; else it is closed on the day before and a new one opens, with null id. Days without observation repeat the last flag. A
+    listing whose newest period reaches the day already stays as it is, so that a repeated run changes nothing.
+    """
+    today = F.lit(day).cast("date")
+    newest = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("first_seen"), F.desc("id")))
+    news = observed.groupBy(*KEY).agg(F.max(F.struct("price", "flag")).alias("_o")).select(*KEY, F.col("_o.price").alias("_price"), F.col("_o.flag").alias("_flag"))
+    rows = periods.withColumn("_n", newest).join(news, KEY, "left")
+    open_ = (F.col("_n") == 1) & F.col("_flag").isNotNull() & (F.col("last_seen") < today)
+    same = F.col("price").eqNullSafe(F.col("_price"))
+    filled = F.concat("stock_flags", gap_fill(last_flag(F.col("stock_flags")), F.col("last_seen"), today))
+    kept = rows.select(
+        "id",
+        *KEY,
+        "price",
+        "first_seen",
+        F.when(open_ & same, today).when(open_, F.date_sub(today, 1)).otherwise(F.col("last_seen")).alias("last_seen"),
+        F.when(open_ & same, F.concat(filled, "_flag")).when(open_, filled).otherwise(F.col("stock_flags")).alias("stock_flags"),
+    )
+    # New periods: of listings whose price changed, and of those never seen.
+    changed = rows.filter(open_ & ~same).select(*KEY, "_price", "_flag")
+    unseen = news.join(periods.select(*KEY), KEY, "left_anti")
+    fresh = changed.unionByName(unseen).select(F.lit(None).cast("long").alias("id"), *KEY, F.col("_price").alias("price"), today.alias("first_seen"), today.alias("last_seen"), F.col("_flag").alias("stock_flags"))
+    return kept.unionByName(fresh)
+
+
+def first_history(history: DataFrame, observed: DataFrame) -> DataFrame:
+    """Periods of all observations if there is no history yet, else none: a migration that runs once."""
+    periods = fold_periods(observed)
+    return periods if history.isEmpty() else periods.limit(0)

@@ -96,3 +96,40 @@ def same_counts(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> Da
     a, b = (f.groupBy(*keys).agg(F.count("*").alias(n)) for f, n in ((source, "source_rows"), (target, "target_rows")))
     both = a.join(b, list(keys), "full_outer").fillna(0, ["source_rows", "target_rows"])
     return both.withColumn("equal", F.col("source_rows") == F.col("target_rows"))
+
+
+def among(frame: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
+    """Rows with exactly one of the values; no values, no filter."""
+    return frame.filter(F.col(column).isin(*values)) if values else frame
+
+
+def visible(frame: DataFrame, wanted: Sequence[str], default: Sequence[str]) -> DataFrame:
+    """The wanted columns that exist, in their order; the default ones if none does."""
+    there = [c for c in wanted if c in frame.columns]
+    return frame.select(*(there or default))
+
+
+def available(frame: DataFrame, column: str = "stock") -> DataFrame:
+    """Rows whose stock text isn't one of those that mean none."""
+    return frame.filter(~folded(F.col(column)).isin("sin stock", "disponibilidad critica"))
+
+
+def panel(frame: DataFrame, text: str = "", columns: Sequence[str] = (), chosen: dict[str, Sequence[str]] | None = None, ranges: dict[str, tuple] | None = None, hide_unavailable: bool = False) -> DataFrame:
+    """A filter panel: text search, then choices, then availability, then inclusive ranges; what isn't set doesn't filter."""
+    out = search(frame, text, columns) if text else frame
+    for column, values in (chosen or {}).items():
+        out = among(out, column, values)
+    out = available(out) if hide_unavailable else out
+    for column, (low, high) in (ranges or {}).items():
+        out = within(out, column, low, high)
+    return out
+
+
+def ranked(frame: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The first ``n`` rows in a total order with their place, from 1; the window sees those rows only."""
+    return top(frame, n, *order).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+def query(spark, sql: str, frames: dict[str, DataFrame] | None = None, **values) -> DataFrame:
+    """Parameterised SQL: ``:name`` stands for a value, ``{name}`` for a frame."""
+    return spark.sql(sql, args=values, **(frames or {}))
