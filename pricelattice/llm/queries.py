@@ -43,7 +43,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return stuffed_pages(read_table(spark, folder, "documents", "doc_id", "text", "lang", "source"))
+    return stuffed_pages(read_table(spark, folder, "documents"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p5_found": p5_found, "p5_reach": p5_reach, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
