@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pricelattice.functions.text import fold, title_words, unaccent
+from pricelattice.functions.text import fold, stripped, title_words, unaccent
 
 UNKNOWN = "?"
 
@@ -33,7 +33,7 @@ def canonical_key(brand: Column, kind: Column, variant: Column, measure: Column)
 
 def canonical_name(kind: Column, brand: Column, variant: Column, size: Column) -> Column:
     """Type, BRAND, variant and size in one text, unknown parts left out; null if all are."""
-    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    blank = lambda c: F.nullif(stripped(c), F.lit(""))
     return F.nullif(F.concat_ws(" ", title_words(blank(kind)), F.upper(blank(brand)), F.lower(blank(variant)), blank(size)), F.lit(""))
 
 
@@ -44,7 +44,7 @@ def low_confidence(key: Column) -> Column:
 
 def path_part(path: Column, at: int, separator: str = ">") -> Column:
     """Element of a path, trimmed; null beyond its end."""
-    return F.nullif(F.trim(F.get(F.split(path, separator), F.lit(at))), F.lit(""))
+    return F.nullif(stripped(F.get(F.split(path, separator), F.lit(at))), F.lit(""))
 
 
 def last_part(path: Column, separator: str = ">") -> Column:

@@ -58,6 +58,11 @@ def clean_title(c: Column) -> Column:
     return F.array_join(shown, " ")
 
 
+def stripped(c: Column) -> Column:
+    """Without outer blanks of any kind, no-break ones among them."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def collapsed(c: Column) -> Column:
     """Blanks of any kind collapsed to one and trimmed."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))

@@ -119,3 +119,32 @@ def led_groups(products: DataFrame, least: float = 0.82, block: int = 3) -> Data
         return pd.DataFrame(out, columns=["leader", "members", "suppliers"])
 
     return known.groupBy(F.substring("name", 1, block).alias("block")).applyInPandas(lead, "leader string, members array<string>, suppliers array<string>")
+
+
+def cluster_members(edges: DataFrame) -> DataFrame:
+    """(cluster, members, size, best): single-linkage clusters with their sorted members and the greatest score of their pairs."""
+    of = checkpointed(linked_clusters(edges))
+    members = of.groupBy("cluster").agg(F.array_sort(F.collect_set("node")).alias("members"))
+    best = edges.join(of, edges.a == F.col("node")).groupBy("cluster").agg(F.max("score").alias("best"))
+    return members.join(best, "cluster").select("cluster", "members", F.size("members").alias("size"), "best")
+
+
+def brand_report(products: DataFrame, least: float = 0.82) -> DataFrame:
+    """(section, name, members, suppliers, listings): brands of one spelling at several suppliers (``same``), groups of similar ones (``similar``), the rest (``single``)."""
+    counted = products.filter("brand is not null").groupBy(brand_core(F.col("brand")).alias("name")).agg(F.array_sort(F.collect_set("supplier")).alias("suppliers"), F.count("*").alias("listings")).filter("name is not null")
+    one = F.array("name").alias("members")
+    same = counted.filter(F.size("suppliers") >= 2).select(F.lit("same").alias("section"), "name", one, "suppliers", "listings")
+    led = checkpointed(led_groups(products, least))
+    inside = led.select("leader", F.explode("members").alias("name"))
+    sums = inside.join(counted.select("name", "listings"), "name").groupBy("leader").agg(F.sum("listings").alias("listings"))
+    similar = led.join(sums, "leader").select(F.lit("similar").alias("section"), F.col("leader").alias("name"), "members", "suppliers", "listings")
+    single = counted.filter(F.size("suppliers") < 2).join(inside, "name", "left_anti").select(F.lit("single").alias("section"), "name", one, "suppliers", "listings")
+    return same.unionByName(similar).unionByName(single)
+
+
+def review_list(products: DataFrame, least: float = 82.0) -> DataFrame:
+    """(a, b, score, listings_a, listings_b) of similar brands for review, the most similar and commonest first."""
+    counted = products.filter("brand is not null").groupBy(brand_core(F.col("brand")).alias("name")).agg(F.count("*").alias("n"))
+    pairs = similar_brands(products, least=least).filter("score < 100")
+    met = pairs.join(counted.toDF("a", "listings_a"), "a").join(counted.toDF("b", "listings_b"), "b")
+    return met.select("a", "b", "score", "listings_a", "listings_b").orderBy(F.desc("score"), F.desc(F.col("listings_a") + F.col("listings_b")), "a", "b")

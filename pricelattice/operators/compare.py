@@ -35,19 +35,21 @@ def spread(prices: DataFrame, key: str, least_suppliers: int = 2) -> DataFrame:
 
 def supplier_matrix(prices: DataFrame, key: str, suppliers: Sequence[str]) -> DataFrame:
     """A price column for each named supplier, also for those without any price."""
-    return prices.groupBy(key).pivot("supplier", list(suppliers)).agg(F.min("price"))
+    return prices.groupBy(key).pivot("supplier", list(suppliers)).agg(F.min("price")) if suppliers else prices.select(key).distinct()
 
 
 def row_extrema(matrix: DataFrame, suppliers: Sequence[str]) -> DataFrame:
     """Least and greatest price over the supplier columns, the cheapest supplier and the spread; rows without price stay null."""
-    columns = [F.col(s) for s in suppliers]
-    offers = F.filter(F.array(*[F.struct(F.col(s).alias("p"), F.lit(s).alias("s")) for s in suppliers]), lambda o: o["p"].isNotNull())
-    out = matrix.withColumn("min_price", F.least(*columns)).withColumn("max_price", F.greatest(*columns)).withColumn("cheapest", F.array_min(offers).getField("s"))
+    none = F.array().cast("array<struct<p:decimal(38,18),s:string>>")
+    offers = F.filter(F.array(*[F.struct(F.col(s).alias("p"), F.lit(s).alias("s")) for s in suppliers]), lambda o: o["p"].isNotNull()) if suppliers else none
+    out = matrix.withColumn("min_price", F.array_min(offers).getField("p")).withColumn("max_price", F.array_max(F.transform(offers, lambda o: o["p"]))).withColumn("cheapest", F.array_min(offers).getField("s"))
     return out.withColumn("diff_pct", percent_over(F.col("max_price"), F.col("min_price")))
 
 
 def presence(offers: DataFrame, key: str, suppliers: Sequence[str]) -> DataFrame:
     """For each key, whether each supplier lists it."""
+    if not suppliers:
+        return offers.select(key).distinct()
     counts = offers.groupBy(key).pivot("supplier", list(suppliers)).agg(F.count(F.lit(1)))
     return counts.select(key, *[(F.coalesce(F.col(s), F.lit(0)) > 0).alias(s) for s in suppliers])
 
@@ -78,7 +80,7 @@ def display_attributes(offers: DataFrame, key: str, columns: Sequence[str], *ord
 
 def hide_unpriced(matrix: DataFrame, suppliers: Sequence[str]) -> DataFrame:
     """Rows with a price in some supplier's column."""
-    return matrix.filter(F.coalesce(*[F.col(s) for s in suppliers]).isNotNull())
+    return matrix.filter(F.coalesce(F.lit(None), *[F.col(s) for s in suppliers]).isNotNull())
 
 
 def match_groups(products: DataFrame, least_suppliers: int = 2) -> DataFrame:

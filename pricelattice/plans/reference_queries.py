@@ -18,7 +18,11 @@ from pricelattice.sources import payloads, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-SUPPLIERS = ["pasoviejo", "norvalle", "almadis", "tresarroyo", "litoralmax"]
+# All sellers of the test tables, for the columns that SQL must name; the queries read them from the data.
+SUPPLIERS = (
+    "almadis bahiacenter cumbredis don_ombu faroltrade granpuerto islamayor jacarandis kioskred litoralmax lomadulce mesopampa molinoeste nandubay norvalle "
+    "ortizales pasoviejo piedrasur quebrachal rionegro2 sauceverde tilcardis tresarroyo vegabaja"
+).split()
 AS_OF = "2025-07-10"
 
 
@@ -170,7 +174,7 @@ def qry23_lookup(s, d):
 
 @query("SELECT column_name AS name FROM (DESCRIBE SELECT * FROM products)")
 def qry25_columns(s, d):
-    return s.createDataFrame([(n,) for n in _products(s, d).columns], "name string")
+    return s.createDataFrame([(n,) for n in _products(s, d).columns], "name string")  # the catalogue's columns, as the reader knows them
 
 
 @query("SELECT supplier, sku, name, brand FROM products WHERE regexp_matches(name, 'vainilla|canela', 'i') OR regexp_matches(brand, 'vainilla|canela', 'i') OR regexp_matches(variant, 'vainilla|canela', 'i')")
@@ -296,7 +300,7 @@ SELECT k, {", ".join(f"max(CASE WHEN supplier = '{x}' THEN price END) AS {x}" fo
 )
 def agg04_pivot_first(s, d):
     first = compare.representative(_offers(s, d).filter("price is not null"), "k", F.struct("sku", "updated_at", "price"), "first")
-    return compare.supplier_matrix(first, "k", SUPPLIERS)
+    return compare.supplier_matrix(first, "k", compare.suppliers_of(_products(s, d)))
 
 
 @query(
@@ -325,7 +329,7 @@ def agg09_min_spread_last(s, d):
 
 @query(f"WITH o AS ({_OFFERS}) SELECT k, {', '.join(f'''min(CASE WHEN supplier = '{x}' THEN price END) AS {x}''' for x in SUPPLIERS)} FROM o GROUP BY k")
 def agg10_pivot_min(s, d):
-    return compare.supplier_matrix(_offers(s, d), "k", SUPPLIERS)
+    return compare.supplier_matrix(_offers(s, d), "k", compare.suppliers_of(_products(s, d)))
 
 
 @query(
@@ -335,7 +339,8 @@ SELECT e.k, e.min_price, e.max_price, (SELECT min(supplier) FROM o WHERE o.k = e
   CASE WHEN min_price > 0 THEN {_DIFF} END AS diff_pct FROM e"""
 )
 def agg12_row_extrema(s, d):
-    return compare.row_extrema(compare.supplier_matrix(_offers(s, d), "k", SUPPLIERS), SUPPLIERS).select("k", "min_price", "max_price", "cheapest", "diff_pct")
+    suppliers = compare.suppliers_of(_products(s, d))
+    return compare.row_extrema(compare.supplier_matrix(_offers(s, d), "k", suppliers), suppliers).select("k", "min_price", "max_price", "cheapest", "diff_pct")
 
 
 @query(
@@ -350,7 +355,7 @@ def agg13_median_diff(s, d):
 
 @query(f"WITH o AS ({_OFFERS}) SELECT k, {', '.join(f'''bool_or(supplier = '{x}') AS {x}''' for x in SUPPLIERS)} FROM o GROUP BY k")
 def agg14_presence(s, d):
-    return compare.presence(_offers(s, d), "k", SUPPLIERS)
+    return compare.presence(_offers(s, d), "k", compare.suppliers_of(_products(s, d)))
 
 
 @query(f"WITH o AS ({_OFFERS}) SELECT k, bool_or(price IS NOT NULL) AS priced FROM o GROUP BY k")
@@ -723,10 +728,10 @@ _SMALL = ", ".join(f"'{w}'" for w in text.SMALL_WORDS)
 
 @query(
     f"""SELECT DISTINCT name, array_to_string(list_transform(w, lambda x, i: CASE WHEN i > 1 AND x IN ({_SMALL}) THEN x ELSE upper(substr(x, 1, 1)) || substr(x, 2) END), ' ') AS title
-FROM (SELECT name, string_split(trim(regexp_replace(lower(name), '\\s+', ' ', 'g')), ' ') AS w FROM products WHERE name IS NOT NULL AND NOT contains(name, chr(160)))"""
+FROM (SELECT name, string_split(trim(regexp_replace(lower(replace(name, chr(160), ' ')), '\\s+', ' ', 'g')), ' ') AS w FROM products WHERE name IS NOT NULL)"""
 )
 def str_f08_title(s, d):
-    return _products(s, d, "name").filter(F.col("name").isNotNull() & ~F.col("name").contains(" ")).select("name", text.clean_title(F.col("name")).alias("title")).distinct()
+    return _products(s, d, "name").filter("name is not null").select("name", text.clean_title(F.col("name")).alias("title")).distinct()
 
 
 @query(

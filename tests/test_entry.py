@@ -21,7 +21,7 @@ TABLES = {
     "category_codes": ("cpath string, name string", [("1", "ALMACEN"), ("1_101", "INFUSIONES"), (None, None)]),
     "ref_values": ("ref_id long, field string, value string", [(1, "brand", "Ab"), (2, "product_type", "Miel"), (3, "category", "Almacén > Infusiones"), (None, None, None)]),
     "eval_items": ("item_id long, suite string, lang string, text string, answer string", [(1, "a", "es", "uno\ndos\ntres", "A"), (None,) * 5]),
-    "documents": ("doc_id long, text string, lang string, tags array<string>", [(1, "hola mundo", "es", ["a", None]), (2, None, None, None), (None, "", "x", [])]),
+    "documents": ("doc_id long, text string, lang string, tags array<string>, created_at timestamp_ntz", [(1, "hola mundo", "es", ["a", None], T), (2, None, None, None, None), (None, "", "x", [], T)]),
     "events": ("event_id long, ts timestamp_ntz, event_type string, value double, props string", [(1, T, "a", 1.0, '{"k": 2}'), (2, T, None, None, "broken")]),
 }
 
