@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelattice.functions import fmt, keys, num, text
-from pricelattice.operators import brands, compare, merge, periods, relational
-from pricelattice.operators.features import extract_features
+from pricelattice.operators import brands, compare, merge, name_readers, periods, relational
 from pricelattice.session import read_table
 from pricelattice.sources import payloads, writers
 
@@ -648,12 +647,48 @@ def url01_parts(s, d):
 # --- Extraction, clusters, payloads (checked by tests; SQL can't say them) --------------------------------
 
 
+def _named(s, d):
+    return _products(s, d, "supplier", "sku", "name", "category"), name_readers.dictionaries_of(read_table(s, d, "ref_values"))
+
+
 @query()
 def ext01_features(s, d):
-    names = read_table(s, d, "products", "supplier").distinct().orderBy("supplier").limit(1000).collect()
-    kinds = ["type_first", "either", "capitals", "size_last", "brand_first"]
-    styles = {r.supplier: kinds[n % len(kinds)] for n, r in enumerate(names)}
-    return extract_features(_products(s, d, "supplier", "sku", "name"), read_table(s, d, "ref_values"), styles)
+    """Every name by the layout that its seller's names follow."""
+    names, known = _named(s, d)
+    return name_readers.read_names(names, known, name_readers.learned_layouts(names, known))
+
+
+@query()
+def ext02_classified(s, d):
+    """The unclassified listings with features, status and confidence."""
+    names, known = _named(s, d)
+    rows = _products(s, d, "supplier", "sku", "name", "category", "classification_status")
+    return name_readers.classified(rows, known, name_readers.learned_layouts(names, known))
+
+
+@query()
+def ext10_type_first(s, d):
+    return name_readers.read_names(*_named(s, d), default="type_first")
+
+
+@query()
+def ext20_either_order(s, d):
+    return name_readers.read_names(*_named(s, d), default="either")
+
+
+@query()
+def ext30_capitals(s, d):
+    return name_readers.read_names(*_named(s, d), default="capitals")
+
+
+@query()
+def ext40_size_last(s, d):
+    return name_readers.read_names(*_named(s, d), default="size_last")
+
+
+@query()
+def ext50_brand_first(s, d):
+    return name_readers.read_names(*_named(s, d), default="brand_first")
 
 
 @query()

@@ -34,7 +34,7 @@ def _whole(c: Column) -> Column:
 
 def store_products(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """Store JSON arrays: first item and seller; bulk price is the first instalment, else the unit price."""
-    p = payloads.select(F.explode(F.from_json(column, f"array<struct<{_typed(STORE_JSON)}>>")).alias("p"))
+    p = payloads.select(F.explode(F.from_json(column, f"array<struct<{_typed(STORE_JSON)}>>")).alias("p")).filter("p is not null")
     item = F.get(F.col("p.items"), F.lit(0))
     offer = F.get(item["sellers"], F.lit(0))["commertialOffer"]
     path = F.get(F.col("p.categories"), F.lit(0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pricelattice import schemas
 from pricelattice.functions import fmt, keys, num
-from pricelattice.operators import features, relational
+from pricelattice.operators import relational
 from pricelattice.operators.brands import linked_clusters, similar_brands, token_sort_ratio
 from pricelattice.operators.merge import overwrite_where, upsert
 from pricelattice.operators.periods import fold_periods
@@ -117,16 +117,6 @@ def test_similar_brands_against_all_pairs(spark, least):
     assert sorted(got) == sorted(want.items()) and ("ROQUE SAN", "SAN ROQUE") in want
 
 
-@pytest.mark.parametrize(
-    "style,name", [("type_first", "Miel Kudrodiax Pura 500 g"), ("brand_first", "KUDRODIAX Miel Pura 500g"), ("either", "Kudrodiax Miel Pura 500 g"), ("capitals", "Miel KUDRODIAX Pura x 500 g"), ("size_last", "Pura Miel Kudrodiax 500 g")]
-)
-def test_features(style, name):
-    brands, kinds = features.Dictionary(["Kudrodiax"]), features.Dictionary(["Miel", "Miel Rosada"])
-    got = features.read_name(name, style, brands, kinds)
-    assert got[:2] == ("Kudrodiax", "Miel") and got[2].lower().startswith("pura") and got[3:] == (500.0, "g", 1)
-    assert features.read_name(None, style, brands, kinds) == (None,) * 6 and features.read_name("500 g", style, brands, kinds)[:2] == (None, None)
-
-
 def test_stream_equals_batch(spark, tmp_path):
     day = lambda n: dt.date(2025, 1, n)
     rows = [("a", "1", day(n), n, p, f) for n, p, f in ((1, 5, "1"), (2, 5, "0"), (5, 6, "1"), (6, 6, "1"), (9, 5, "1"))] + [("b", "1", day(3), 1, 5, "1")]
