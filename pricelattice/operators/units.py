@@ -96,6 +96,11 @@ def _modal(links: DataFrame, keys: list[str]) -> DataFrame:
     return bins.groupBy(*keys).agg(top.alias("top"), F.sum("n").alias("links")).select(*keys, F.exp("top.mean").alias("ratio"), F.col("top.n").alias("agree"), "links")
 
 
+def _small(frame: DataFrame) -> DataFrame:
+    """A written frame for a join whose other side has few keys: broadcast up to MAX_EDGES rows."""
+    return F.broadcast(frame) if frame.count() <= MAX_EDGES else frame
+
+
 def notation_edges(readings: DataFrame) -> DataFrame:
     """(notation, hub, ratio, agree, links): what one of the hub is in the notation's numbers, over the entities that state both.
 
@@ -103,8 +108,8 @@ def notation_edges(readings: DataFrame) -> DataFrame:
     link a notation, of the least and only if it doesn't contradict itself.
     """
     each = readings.filter("notation != ''").groupBy("entity", "notation").agg(F.min("x").alias("x"), F.max("x").alias("most"), F.count("*").alias("n"))
-    common = each.groupBy("notation").agg(F.sum("n").alias("times"))
-    each = each.join(common, "notation").filter("most <= x * 1.02")
+    common = checkpointed(each.groupBy("notation").agg(F.sum("n").alias("times")))
+    each = each.join(_small(common), "notation").filter("most <= x * 1.02")
     hub = each.groupBy("entity").agg(F.max(F.struct("times", F.col("notation").alias("hub"), F.col("x").alias("hub_x"))).alias("h")).select("entity", "h.hub", "h.hub_x")
     return _modal(each.join(hub, "entity").filter("notation != hub").select("notation", "hub", (F.col("x") / F.col("hub_x")).alias("ratio")), ["notation", "hub"])
 
@@ -132,8 +137,9 @@ def source_corrections(based: DataFrame, agreed: DataFrame, least: int = SOURCE_
     Numbers of known notations are in the base unit already, where scale 1 without shift is no correction; for
     numbers without a known notation it is one.
     """
-    links = based.join(agreed.withColumnRenamed("family", "agreed_family"), "entity").filter("family is null or family = agreed_family")
-    links = links.groupBy("source", F.col("agreed_family").alias("of"), "entity", F.col("family").isNotNull().alias("known"), "agreed").agg(F.min("v").alias("v"))
+    # One row a source and entity before they meet, however many listings an entity has.
+    each = based.groupBy("source", "entity", "family").agg(F.min("v").alias("v"))
+    links = each.join(agreed.withColumnRenamed("family", "of"), "entity").filter("family is null or family = of").select("source", "of", "entity", F.col("family").isNotNull().alias("known"), "agreed", "v")
     fit = checkpointed(_modal(links.withColumn("ratio", F.col("agreed") / F.col("v")), ["source", "of", "known"]).withColumn("scale", _snapped(F.col("ratio"))))  # one row a source
     fits = F.coalesce(F.col("scale").isNotNull() & (F.col("agree") >= SOURCE_SHARE * F.col("links")), F.lit(False))
     scaled = fit.filter(fits & (F.col("agree") >= least)).filter("not known or scale != 1").select("source", F.col("of").alias("family"), "scale", F.lit(0.0).alias("shift"))
@@ -211,7 +217,7 @@ def listing_quantities(products: DataFrame, least: int = LEAST_LINKS, source_lea
     # Numbers without a known notation are of the family of their entity.
     named = stated.filter("family is not null").withColumn("known", F.lit(True))
     odd = stated.filter("family is null").drop("family").join(agreed.select("entity", "family"), "entity").withColumn("known", F.lit(False))
-    settled = named.unionByName(odd).join(corrections, ["source", "family"], "left").filter("known or scale is not null")
+    settled = named.unionByName(odd).join(_small(corrections), ["source", "family"], "left").filter("known or scale is not null")
     settled = settled.withColumn("v", F.coalesce("scale", F.lit(1.0)) * F.col("v") + F.coalesce("shift", F.lit(0.0))).select("supplier", "sku", "entity", "place", "family", "v", "pieces")
     texts = settled.filter("place != 'typed'")
     facts = texts.filter("entity is not null").groupBy("entity", "family", F.round("v").alias("v"), "pieces").agg(F.count("*").alias("votes"))
