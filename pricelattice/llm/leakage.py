@@ -6,7 +6,7 @@ the whole document is verified against them: an in-order alignment of the item's
 answer overlap beside it.
 
 Scale: documents are read once and never shuffled; the index goes to the workers in shards of at most ``SHARD``
-items, and every document meets every shard. WAND drops a window without touching postings when its words
+items, weighed alike in all, and every document meets every shard. WAND drops a window without touching postings when its words
 cannot reach any item's threshold, which is the case of nearly all text.
 """
 
@@ -19,12 +19,13 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelattice.session import spread
+from pricelattice.session import checkpointed, spread
 
 SHARD = 20_000
 LEAST_WORDS = 15
@@ -51,19 +52,31 @@ def split_item(text: str) -> tuple[str, str, str]:
     return max(lines, key=len, default=""), "", ""
 
 
+class Corpus(NamedTuple):
+    """Number and mean length of all passages, and the passages that have each word."""
+
+    size: int
+    mean: float
+    frequency: dict[str, int]
+
+    @classmethod
+    def of(cls, passages: list[list[str]]) -> Corpus:
+        return cls(len(passages), sum(map(len, passages)) / max(1, len(passages)) or 1.0, Counter(w for p in passages for w in set(p)))
+
+
 class BlockMaxIndex:
     """BM25 postings of passages; weights are divided by each passage's threshold, so that 1 is to be reached."""
 
-    def __init__(self, passages: list[list[str]]):
+    def __init__(self, passages: list[list[str]], corpus: Corpus | None = None):
+        """``corpus`` says what all passages have, where these are a part of them."""
         self.size = len(passages)
-        frequency = Counter(w for p in passages for w in set(p))
-        mean = sum(map(len, passages)) / max(1, self.size) or 1.0
+        every, mean, frequency = corpus or Corpus.of(passages)
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for k, words in enumerate(passages):
             if len(words) < LEAST_WORDS:
                 continue  # nothing of it can be a case
             norm = K1 * (1 - B + B * len(words) / mean)
-            weight = {w: math.log(1 + (self.size - frequency[w] + 0.5) / (frequency[w] + 0.5)) * n * (K1 + 1) / (n + norm) for w, n in Counter(words).items()}
+            weight = {w: math.log(1 + (every - frequency[w] + 0.5) / (frequency[w] + 0.5)) * n * (K1 + 1) / (n + norm) for w, n in Counter(words).items()}
             spans = [sum(weight[w] for w in set(words[i : i + LEAST_WORDS])) for i in range(len(words) - LEAST_WORDS + 1)]
             threshold = PART * min(spans) or 1e-9
             for w, x in weight.items():
@@ -189,14 +202,14 @@ def aligned_words(passage: list[str], words: list[str]) -> int:
 class LeakFinder:
     """Index and verification of one shard of items: (item_id, text, answer)."""
 
-    def __init__(self, items: list[tuple[int, str, str | None]]):
+    def __init__(self, items: list[tuple[int, str, str | None]], corpus: Corpus | None = None):
         self.items = []
         for item_id, text, answer in items:
             passage, question, options = split_item(text)
             chosen = re.search(rf"\b{re.escape(answer)}\)\s*([^\s)]+(?:\s+(?!\w\))[^\s)]+)*)", options) if answer else None
             folded = fold_words(passage)
             self.items.append((item_id, folded, word_masks(folded), set(fold_words(question)), fold_words(chosen[1]) if chosen else []))
-        self.index = BlockMaxIndex([item[1] for item in self.items])
+        self.index = BlockMaxIndex([item[1] for item in self.items], corpus)
         self.vocabulary = frozenset(self.index.top)
 
     def find(self, text: str) -> list[tuple[int, int, float, bool]]:
@@ -223,6 +236,22 @@ _FINDERS: dict[int, LeakFinder] = {}  # of the worker process, by shard
 FOUND = "doc_id long, item_id long, matched int, question_share double, answer_present boolean"
 
 
+def passage_words(items: DataFrame) -> DataFrame:
+    """(item_id, n, word): each different word of each item's passage, and the passage's length."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {"item_id": [], "n": [], "word": []}
+            for item_id, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
+                folded = fold_words(split_item(text)[0])
+                for word in set(folded) or {""}:
+                    for column, value in zip(out.values(), (item_id, len(folded), word)):
+                        column.append(value)
+            yield pa.record_batch([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int32(), pa.string()))], names=list(out))
+
+    return items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(split, "item_id long, n int, word string")
+
+
 def leaked_items(documents: DataFrame, items: DataFrame, shard: int = SHARD) -> DataFrame:
     """``(doc_id, item_id, matched, question_share, answer_present)`` for each document and item it exposes.
 
@@ -237,15 +266,25 @@ def leaked_items(documents: DataFrame, items: DataFrame, shard: int = SHARD) ->
     texts = documents.filter("doc_id is not null and text is not null").select("doc_id", "text")
     texts = spread(texts)
 
+    # Words are weighed by all items, in whatever shard they are.
+    size, mean, spoken, counts = 0, 1.0, None, None
+    if shards > 1:
+        spoken = checkpointed(passage_words(valid))
+        size, total = spoken.groupBy("item_id").agg(F.max("n").alias("n")).agg(F.count("*"), F.sum("n")).first()
+        mean = total / size or 1.0
+        counts = checkpointed(spoken.groupBy("word").agg(F.countDistinct("item_id").alias("f")))
+
     def within(part: int) -> DataFrame:
-        rows = sorted((r.item_id, r.text, r.answer or "") for r in valid.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == part).collect())
-        shared = spark.sparkContext.broadcast(rows)
-        key = hash(tuple(rows))
+        mine = F.pmod(F.xxhash64(F.col("item_id").cast("long")), F.lit(shards)) == part
+        rows = sorted((r.item_id, r.text, r.answer or "") for r in valid.filter(mine).collect())
+        corpus = Corpus(size, mean, {r.word: r.f for r in counts.join(spoken.filter(mine).select("word").distinct(), "word").collect()}) if shards > 1 else None
+        shared = spark.sparkContext.broadcast((rows, corpus))
+        key = hash((tuple(rows), size))
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             finder = _FINDERS.get(key)
             if finder is None:
-                finder = _FINDERS[key] = LeakFinder(shared.value)
+                finder = _FINDERS[key] = LeakFinder(*shared.value)
             for batch in batches:
                 out: dict[str, list] = {"doc_id": [], "item_id": [], "matched": [], "question_share": [], "answer_present": []}
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):

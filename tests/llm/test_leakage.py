@@ -91,3 +91,25 @@ def test_only_markup_is_dropped():
 
     assert fold_words("uno < dos y tres > cuatro") == ["uno", "dos", "y", "tres", "cuatro"]
     assert fold_words('uno <a href="' + "x" * 2000 + '">dos</a> tres') == ["uno", "dos", "tres"]
+
+
+def test_shards_weigh_words_alike(spark):
+    """An item's threshold and postings are the same in a shard as among all items."""
+    import pyspark.sql.functions as F
+
+    from pricelattice.llm.leakage import BlockMaxIndex, Corpus, fold_words, leaked_items, passage_words, split_item
+
+    r = random.Random(5)
+    words = [f"w{n}" for n in range(60)]
+    texts = [(n, "\n".join([" ".join(r.choices(words, k=30)), "pregunta uno", "A) x B) y"]), "A") for n in range(40)]
+    items = spark.createDataFrame(texts, "item_id long, text string, answer string")
+    passages = [fold_words(split_item(t)[0]) for _, t, _ in texts]
+    whole = BlockMaxIndex(passages)
+    part = BlockMaxIndex(passages[:10], Corpus.of(passages))
+    for word, postings in part.postings.items():
+        assert postings == [p for p in whole.postings[word] if p[0] < 10]
+    got = {x.word: x.f for x in passage_words(items).groupBy("word").agg(F.countDistinct("item_id").alias("f")).collect()}
+    assert got == dict(Corpus.of(passages).frequency)
+    documents = spark.createDataFrame([(n, "antes " + " ".join(p[3:25]) + " luego") for n, p in enumerate(passages)] + [(99, "nada")], "doc_id long, text string")
+    key = lambda frame: sorted(map(tuple, frame.collect()))
+    assert key(leaked_items(documents, items, 7)) == key(leaked_items(documents, items)) and {(n, n) for n in range(40)} <= {(x.doc_id, x.item_id) for x in leaked_items(documents, items, 7).collect()}
