@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
+from pyspark.sql import types as T
 
 
 def _composed() -> tuple[str, str]:
@@ -68,6 +69,21 @@ def collapsed(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+@F.pandas_udf(T.StringType())
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None or t != t else unicodedata.normalize("NFKC", t))
+
+
+def compatible(c: Column) -> Column:
+    """Compatibility forms (ligatures, widths, raised digits) as plain characters; only texts beyond ASCII reach Python's table."""
+    return F.when(c.rlike(r"[^\x00-\x7F]"), _nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c))).otherwise(c)
+
+
+def clean_name(c: Column) -> Column:
+    """Compatibility forms replaced, blanks collapsed, words capitalised but for small ones after the first."""
+    return clean_title(compatible(c))
+
+
 def mended_fold(c: Column) -> Column:
     """``ascii_fold`` in which a broken character (U+FFFD) reads as the N that it mostly stood for."""
     return ascii_fold(F.replace(c, F.lit("\ufffd"), F.lit("N")))

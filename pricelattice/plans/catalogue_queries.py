@@ -423,6 +423,11 @@ def dim09_table_brands(s, d):
     return lookups.read_table_brands(_lines(s, d, "brand", F.concat(F.lit("| "), F.rpad("value", 40, " "), F.lit("|"))))
 
 
+@query()
+def str_f08_clean_name(s, d):
+    return _products(s, d, "name").distinct().select("name", text.clean_name(F.col("name")).alias("clean"), text.collapsed(text.compatible(F.col("name"))).alias("plain"))
+
+
 # --- Reports that SQL can't say; the tests check them -----------------------------------------------------
 
 

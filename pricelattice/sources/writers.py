@@ -12,9 +12,11 @@ from pricelattice.session import exists
 MAX_SHEET_ROWS = 1_000_000  # rows a spreadsheet holds
 
 
-def export_csv(frame: DataFrame, path: str, *order: str, single: bool = True) -> None:
-    """CSV with a header; one file for reports, many for bulk."""
+def export_csv(frame: DataFrame, path: str, *order: str, single: bool | None = None) -> None:
+    """CSV with a header; one file for what a sheet holds, many for bulk, unless ``single`` says which."""
     ordered = frame.orderBy(*order) if order else frame
+    if single is None:
+        single = frame.limit(MAX_SHEET_ROWS + 1).count() <= MAX_SHEET_ROWS
     (ordered.coalesce(1) if single else ordered).write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -52,7 +54,9 @@ def fixed_width_lines(frame: DataFrame, widths: dict[str, int] | None = None) ->
 
 
 def write_text(lines: DataFrame, path: str) -> None:
-    lines.coalesce(1).write.mode("overwrite").text(path)
+    """Lines as text; one file for what a sheet holds, many for bulk."""
+    few = lines.limit(MAX_SHEET_ROWS + 1).count() <= MAX_SHEET_ROWS
+    (lines.coalesce(1) if few else lines).write.mode("overwrite").text(path)
 
 
 def copy_verified(source: DataFrame, path: str) -> int:
@@ -79,3 +83,9 @@ def create_tables(spark: SparkSession, folder: str, schemas: dict[str, T.StructT
 def with_schema(frame: DataFrame, schema: T.StructType) -> DataFrame:
     """Columns of the schema in its order, missing ones as null: additive evolution of older files."""
     return frame.select(*[(F.col(f.name) if f.name in frame.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+
+
+def write_brand_report(report: DataFrame, folder: str) -> None:
+    """A brand report (section, name, members, suppliers, listings) as one text folder a section, a line a group."""
+    line = F.concat(F.col("name"), F.lit(" ("), F.array_join("suppliers", ", "), F.lit(", "), F.col("listings").cast("string"), F.lit(")"), F.when(F.size("members") > 1, F.concat(F.lit(": "), F.array_join("members", ", "))).otherwise(""))
+    report.select("section", line.alias("value")).orderBy("section", "value").write.mode("overwrite").partitionBy("section").text(folder)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pricelattice.operators.merge import upsert
-from pricelattice.session import exists, names_in
+from pricelattice.session import exists, file_system, names_in
 
 PERIOD = "supplier string, sku string, price_cents long, first_seen date, last_seen date, stock_flags string, closed boolean"
 
@@ -62,6 +62,8 @@ def stream_periods(observations: DataFrame) -> DataFrame:
 class VersionedTable:
     """A table of numbered parquet folders; readers take the greatest complete one, so a retried batch is harmless."""
 
+    KEEP = 3
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
@@ -74,7 +76,11 @@ class VersionedTable:
         return self.spark.read.parquet(f"{self.path}/v{past[-1]}") if past else None
 
     def write(self, frame: DataFrame, version: int) -> None:
+        """Writes a version, then drops those before the KEEP last: a reader of an older one has finished by then."""
         frame.write.mode("overwrite").parquet(f"{self.path}/v{version}")
+        for old in [v for v in self.versions() if v <= version][: -self.KEEP]:
+            files, at = file_system(self.spark, f"{self.path}/v{old}")
+            files.delete(at, True)
 
 
 def merge_stream(arriving: DataFrame, table: VersionedTable, keys: Sequence[str], updated: Sequence[str], checkpoint: str):

@@ -65,3 +65,30 @@ def test_brand_report(spark):
     assert [(r.a, r.b, r.listings_a, r.listings_b) for r in brands.review_list(products).collect()] == [("KUDRODIAX", "KUDRODIAZ", 2, 1)]
     edges = spark.createDataFrame([("a", "b", 90.0), ("b", "c", 85.0), ("x", "y", 99.0)], "a string, b string, score double")
     assert {r.cluster: (r.members, r.size, r.best) for r in brands.cluster_members(edges).collect()} == {"a": (["a", "b", "c"], 3, 90.0), "x": (["x", "y"], 2, 99.0)}
+
+
+def test_clean_names(spark):
+    import unicodedata
+
+    from pricelattice.functions.text import clean_name, compatible
+
+    texts = ["ﬁdeos al huevo ½ kg", "MIEL de la SIERRA", "ＳＡＬ fina", "caña ② x³", "", None, "plain ascii"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in frame.select("t", compatible(F.col("t")).alias("k"), clean_name(F.col("t")).alias("c")).collect():
+        assert r.k == (None if r.t is None else unicodedata.normalize("NFKC", r.t))
+    assert frame.filter("t like 'MIEL%'").select(clean_name(F.col("t")).alias("c")).first().c == "Miel de la Sierra"
+
+
+def test_reports_as_files(spark, tmp_path):
+    from pricelattice.sources import writers
+    from pricelattice.streaming.periods import VersionedTable
+
+    rows = [("same", "AB", ["AB"], ["x", "y"], 3), ("similar", "CD", ["CD", "CE"], ["x", "z"], 2)]
+    writers.write_brand_report(spark.createDataFrame(rows, "section string, name string, members array<string>, suppliers array<string>, listings int"), str(tmp_path / "r"))
+    assert {(r.section, r.value) for r in spark.read.text(str(tmp_path / "r")).collect()} == {("same", "AB (x, y, 3)"), ("similar", "CD (x, z, 2): CD, CE")}
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    for n in range(1, 6):
+        table.write(spark.range(n), n)
+    assert table.versions() == [3, 4, 5] and table.read().count() == 5 and table.read(before=5).count() == 4
+    writers.write_text(spark.createDataFrame([("a",)], "line string"), str(tmp_path / "x"))
+    assert spark.read.text(str(tmp_path / "x")).first().value == "a"
