@@ -4,7 +4,8 @@ Method: the vocabulary (ranks of byte strings) is serialised as a sentencepiece
 byte string mapped to printable characters, scored by its negative rank, with identity normalisation. Texts are
 cut into pre-tokens, each distinct pre-token of a batch is encoded once, and ids decode by the inverse mapping.
 
-Scale: no shuffle; documents are encoded where they are read, whole, in Arrow batches. The model (a fixed
+Scale: large inputs aren't shuffled, documents are encoded where they are read, whole, in Arrow batches; little data is
+spread over all cores first. The model (a fixed
 vocabulary, size-checked) is broadcast as bytes, so executors need no file.
 """
 
