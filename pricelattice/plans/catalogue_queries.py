@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricelattice.functions import fmt, keys, num, text
-from pricelattice.operators import brands, compare, periods, relational
+from pricelattice.operators import brands, compare, merge, periods, relational
 from pricelattice.plans.reference_queries import _DIFF, _OFFERS, SUPPLIERS, _core, _daily, _DAILY, _fold, _half, _offers, _products
 from pricelattice.session import read_table
-from pricelattice.sources import lookups, payloads
+from pricelattice.sources import lookups, payloads, writers
+from pricelattice.streaming.periods import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -369,6 +370,59 @@ def url01_stripped(s, d):
     return rows.select("url", keys.strip_session(F.concat("url", F.lit("?osCsid=0a1b&page=3&sort=2a"))).alias("plain")).distinct()
 
 
+# --- Pages, updates, windows ------------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT href FROM (SELECT unnest(regexp_extract_all(text, 'href=\"([^\"]+)\"', 1)) AS href FROM documents) WHERE regexp_matches(href, '[.]html$')")
+def src12_category_links(s, d):
+    return payloads.category_links(read_table(s, d, "documents", "text"), r"[.]html$", "text")
+
+
+@query(
+    """SELECT DISTINCT url, array_to_string(list_transform(list_filter(string_split(regexp_replace(regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1), '[.]html$', ''), '/'), lambda p: p <> ''),
+  lambda p: array_to_string(list_transform(string_split(replace(lower(p), '-', ' '), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ')), ' > ') AS category FROM products WHERE regexp_matches(url, '^https?://[^/]+/')"""
+)
+def src19_category_from_path(s, d):
+    return _products(s, d, "url").filter(F.col("url").rlike("^https?://[^/]+/")).select("url", payloads.category_from_path(F.col("url")).alias("category")).distinct()
+
+
+@query("SELECT cpath, cpath AS found FROM category_codes WHERE cpath IS NOT NULL")
+def src20_category_from_query(s, d):
+    url = F.concat(F.lit("https://a.test/index.php?page=2&cPath="), "cpath", F.lit("#top"))
+    return read_table(s, d, "category_codes", "cpath").filter("cpath is not null").select("cpath", F.parse_url(url, F.lit("QUERY"), F.lit("cPath")).alias("found"))
+
+
+@query("SELECT DISTINCT value, array_to_string(list_transform(string_split(lower(value), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS title FROM ref_values WHERE field = 'product_type'")
+def src21_title_from_slug(s, d):
+    slug = F.replace(F.lower("value"), F.lit(" "), F.lit("-"))
+    return read_table(s, d, "ref_values").filter("field = 'product_type'").select("value", keys.title_from_slug(slug).alias("title")).distinct()
+
+
+@query("SELECT cpath, upper(min(name)) AS name FROM category_codes WHERE cpath IS NOT NULL GROUP BY cpath")
+def src26_code_map(s, d):
+    codes = read_table(s, d, "category_codes")
+    links = codes.withColumn("place", F.lit(1)).unionByName(codes.withColumn("place", F.lit(2)).withColumn("name", F.lit("later")))
+    return payloads.category_codes(links)
+
+
+@query("SELECT p.supplier, p.sku, p.updated_at, coalesce(n.brand, p.brand) AS brand FROM products p LEFT JOIN (SELECT supplier, sku, max(lower(brand)) AS brand FROM products GROUP BY ALL) n ON p.supplier = n.supplier AND p.sku = n.sku")
+def snk05_full_update(s, d):
+    rows = _products(s, d, "supplier", "sku", "updated_at", "brand")
+    return merge.overwrite_where(rows, rows.groupBy("supplier", "sku").agg(F.max(F.lower("brand")).alias("brand")), ["supplier", "sku"], ["brand"], "true")
+
+
+@query("SELECT '|' || rpad(coalesce(name, ''), 20, ' ') || '|' || rpad(coalesce(brand, ''), 12, ' ') || '|' AS line FROM products")
+def snk20_dry_run_lines(s, d):
+    return writers.fixed_width_lines(_products(s, d, "name", "brand"), {"name": 20, "brand": 12})
+
+
+@query("SELECT date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS \"end\", event_type, count(*) AS n FROM events GROUP BY ALL")
+def str07_daily_windows(s, d):
+    """Tumbling windows; the same function takes a stream. An extension beyond the inventory."""
+    zoneless = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return windowed_counts(read_table(s, d, "events"), "tumbling", "1 day").select(zoneless("start"), zoneless("end"), "event_type", "n")
+
+
 # --- Lookup lists, from lines as files have them ----------------------------------------------------------
 
 
